@@ -27,7 +27,7 @@ def season_of_file(path: Column) -> Column:
     """``season-2526.csv`` gives ``2025-26``; two-digit years from 90 on are 19xx."""
     start = F.regexp_extract(path, r"season-(\d{2})(\d{2})\.csv$", 1)
     end = F.regexp_extract(path, r"season-(\d{2})(\d{2})\.csv$", 2)
-    code = F.expr("try_cast(null as int)") if start is None else start.try_cast("int")
+    code = start.try_cast("int")
     return F.when(
         start != "",
         F.concat_ws("-", (code + F.when(code >= 90, 1900).otherwise(2000)).cast("string"), end),

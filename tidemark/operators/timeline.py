@@ -9,8 +9,8 @@ Order is carried by two text keys that compare bytewise:
                has its own and comes after the rounds of that date
 ``seq_key``    ``block_key`` plus date, kick-off and match id: a total order inside a pool
 
-``chunk`` is the month of the block. Team timelines are cut by it, so a club (or pair) that holds a
-large share of all rows is spread over months, and only one summary row per month crosses chunks.
+``chunk`` is the half-year of the block. Team timelines are cut by it, so a club (or pair) that holds a
+large share of all rows is spread over half-years, and only one summary row per half-year crosses chunks.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ from tidemark.functions.scalars import bounded_tail, points
 SIDE_STATS = ("shots", "shots_on_target")
 
 
+def half_year(date: Column) -> Column:
+    """Index of the half-year from August or February that holds a date."""
+    return F.floor((F.year(date) * 12 + F.month(date) - 8) / 6).cast("int")
+
+
 def timeline(matches: DataFrame, target: str = TARGET_COMPETITION) -> DataFrame:
     """Add ``block_date, block_key, seq_key, chunk, in_block``; undated rows drop out."""
     dated = matches.filter(F.col("match_date").isNotNull()).withColumn(
@@ -51,7 +56,7 @@ def timeline(matches: DataFrame, target: str = TARGET_COMPETITION) -> DataFrame:
         .withColumn(
             "seq_key", F.concat_ws("|", "block_key", F.col("match_date"), kickoff, F.col("match_id"))
         )
-        .withColumn("chunk", F.trunc("block_date", "month"))
+        .withColumn("chunk", half_year(F.col("block_date")))
         .drop("block_round", "round_start")
     )
 
@@ -93,88 +98,100 @@ def history_before(
     item: Column,
     depth: int,
     sums: dict[str, Column] | None = None,
-    sum_keys: list[str] | None = None,
+    sum_key: str | None = None,
 ) -> DataFrame:
     """State read at the start of each row's block, from strictly earlier blocks.
 
     Adds ``history``: the last ``depth`` values of ``item`` over played rows in timeline order; and,
-    for each entry of ``sums``, its running total over the same earlier rows (per ``sum_keys``, which
-    refine ``keys``).
+    for each entry of ``sums``, its running total over the same earlier rows, kept apart per
+    ``sum_key`` (the season).
 
-    Two levels. Inside (keys, chunk) windows read earlier blocks of the month. One summary row per
-    (keys, chunk) then carries the end state of earlier months forward. A window group is therefore
-    one month of one entity, or one row per month of one entity, never an entity's whole past.
+    Two levels. Inside (keys, chunk) windows read earlier blocks of the half-year. One summary row per
+    (keys, chunk) then carries the end state of earlier chunks forward. A window group is therefore
+    one half-year of one entity, or one row per half-year of one entity, never an entity's whole past. The
+    rows are shuffled once, and the summaries join on that same partitioning.
+
+    ``rows`` is read twice, so hand in a stored table, not a plan that ends in the rating fold.
     """
     sums = sums or {}
-    sum_keys = sum_keys or keys
-    names = list(sums)
     staged = rows.withColumn("_item", item)
-    for name, value in sums.items():
-        staged = staged.withColumn(f"_d_{name}", value)
+    if sums:
+        staged = staged.withColumn("_sum_key", F.col(sum_key)).withColumn(
+            "_delta", F.struct(*[v.alias(n) for n, v in sums.items()])
+        )
     staged = staged.repartition(*keys, "chunk")
 
-    in_month = Window.partitionBy(*keys, "chunk")
+    # Running values up to the previous row, then the value its block started with. The second
+    # window reuses the first one's sort.
+    def at_block_start(partition: list[str], values: dict[str, Column], frame: DataFrame) -> DataFrame:
+        running = (
+            Window.partitionBy(*partition)
+            .orderBy("block_key", "seq_key")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        block = Window.partitionBy(*partition, "block_key").orderBy("seq_key")
+        frame = frame.select("*", *[v.over(running).alias(n) for n, v in values.items()])
+        return frame.withColumns({n: F.first(n).over(block) for n in values})
+
+    if sums:
+        staged = at_block_start(
+            [*keys, "chunk", "_sum_key"], {f"_l_{n}": F.sum(f"_delta.{n}") for n in sums}, staged
+        )
     tail_frame = (
-        Window.partitionBy(*keys, "chunk", "played").orderBy("seq_key").rowsBetween(-(depth - 1), 0)
+        Window.partitionBy(*keys, "chunk", "played")
+        .orderBy("block_key", "seq_key")
+        .rowsBetween(-(depth - 1), 0)
     )
     staged = staged.withColumn(
         "_tail", F.when(F.col("played"), F.collect_list("_item").over(tail_frame))
-    ).withColumn("_rank", F.dense_rank().over(in_month.orderBy("block_key")))
-
-    earlier = in_month.orderBy("_rank").rangeBetween(Window.unboundedPreceding, -1)
-    local = [
-        F.max(F.when(F.col("played"), F.struct("seq_key", "_tail"))).over(earlier).alias("_local")
-    ]
-    by_sum = (
-        Window.partitionBy(*keys, "chunk", *[k for k in sum_keys if k not in keys])
-        .orderBy("_rank")
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    local += [F.sum(f"_d_{n}").over(by_sum).alias(f"_l_{n}") for n in names]
-    staged = staged.select("*", *local)
-
-    # Month summaries: the tail at the month's end, and the month's totals.
-    ends = staged.groupBy(*keys, "chunk").agg(
-        F.max(F.when(F.col("played"), F.struct("seq_key", "_tail"))).alias("_end")
     )
-    ends = ends.withColumn("_has", F.col("_end").isNotNull())
+    staged = at_block_start([*keys, "chunk"], {"_local": F.last("_tail", ignorenulls=True)}, staged)
+    end = F.max(F.when(F.col("played"), F.struct("seq_key", "_tail")))
+
+    # Chunk summaries. A chunk may hold rows of two seasons; totals are kept apart, the tail is not.
+    grain = [*keys, "chunk"] + (["_sum_key"] if sums else [])
+    spans = staged.groupBy(*grain).agg(
+        end.alias("_end"), *[F.sum(f"_delta.{n}").alias(n) for n in sums]
+    ).repartition(*keys)
+    one_span = Window.partitionBy(*keys, "chunk")
+    spans = spans.withColumn("_end", F.max("_end").over(one_span))
+    if sums:
+        so_far = (
+            Window.partitionBy(*keys, "_sum_key")
+            .orderBy("chunk")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        spans = spans.select(
+            *grain, "_end",
+            F.struct("_sum_key", *[F.sum(n).over(so_far).alias(n) for n in sums]).alias("_prior"),
+        )
+        spans = spans.groupBy(*keys, "chunk").agg(
+            F.max("_end").alias("_end"), F.collect_list("_prior").alias("_prior")
+        )
+    spans = spans.withColumn("_has", F.col("_end").isNotNull())
     filled = Window.partitionBy(*keys, "_has").orderBy("chunk").rowsBetween(-(depth - 1), 0)
     before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        ends.repartition(*keys)
-        .withColumn("_cum", F.when(F.col("_has"), bounded_tail(
-            F.flatten(F.collect_list(F.col("_end._tail")).over(filled)), depth)))
-        .withColumn("_carry", F.last("_cum", ignorenulls=True).over(before))
-        .select(*keys, "chunk", "_carry")
-    )
+    spans = spans.withColumn(
+        "_cum",
+        F.when(F.col("_has"), bounded_tail(F.flatten(F.collect_list("_end._tail").over(filled)), depth)),
+    ).withColumn("_carry", F.last("_cum", ignorenulls=True).over(before))
+    carry = spans.select(*keys, "chunk", "_carry", *(["_prior"] if sums else []))
+
     out = staged.join(carry, [*keys, "chunk"], "left")
-    empty = F.slice(F.array("_item"), 1, 0)
-    out = out.withColumn(
-        "history",
+    none = F.slice(F.array("_item"), 1, 0)
+    result = [
         bounded_tail(
-            F.concat(
-                F.coalesce(F.col("_carry"), empty), F.coalesce(F.col("_local._tail"), empty)
-            ),
-            depth,
-        ),
-    )
-    if names:
-        totals = (
-            staged.groupBy(*sum_keys, "chunk")
-            .agg(*[F.sum(f"_d_{n}").alias(f"_t_{n}") for n in names])
-        )
-        so_far = (
-            Window.partitionBy(*sum_keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        prior = totals.select(
-            *sum_keys, "chunk", *[F.sum(f"_t_{n}").over(so_far).alias(f"_c_{n}") for n in names]
-        )
-        out = out.join(prior, [*sum_keys, "chunk"], "left")
-        for n in names:
-            out = out.withColumn(
-                n, F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
-            )
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+            F.concat(F.coalesce("_carry", none), F.coalesce("_local", none)), depth
+        ).alias("history")
+    ]
+    if sums:
+        prior = F.filter("_prior", lambda p: p["_sum_key"] == F.col("_sum_key"))
+        out = out.withColumn("_mine", F.get(prior, F.lit(0)))
+        result += [
+            (F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_mine.{n}"), F.lit(0))).alias(n)
+            for n in sums
+        ]
+    return out.select(*rows.columns, *result)
 
 
 def outcome_item() -> Column:
@@ -223,5 +240,5 @@ def record_terms() -> dict[str, Column]:
 def team_state(side_rows: DataFrame, depth: int = FEATURES.history_depth) -> DataFrame:
     """Bounded history and season record for every side row, as of its block's start."""
     return history_before(
-        side_rows, ["pool", "team"], outcome_item(), depth, record_terms(), ["pool", "team", "season"]
+        side_rows, ["pool", "team"], outcome_item(), depth, record_terms(), "season"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def build_session(app: str = "tidemark", cores: int | str = "*", partitions: int
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -47,3 +49,14 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return frame.checkpoint(eager=True)
+
+
+def stage(frame: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where a result feeds several branches and is too dear to compute for each. Unlike a
+    checkpoint the copy is columnar, so every branch reads only its own columns.
+    """
+    path = f"{shared_folder(frame.sparkSession)}/stage-{uuid.uuid4().hex}/{label}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
