@@ -24,6 +24,10 @@ def club_name(number: Column) -> Column:
 
 
 def matches(spark: SparkSession, folder: str) -> DataFrame:
+    return matches_of(table(spark, folder, "orders"))
+
+
+def matches_of(orders: DataFrame) -> DataFrame:
     """One match per order; two of the five priorities are cups, the others the league."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     club = F.floor(customer / 10)
@@ -47,7 +51,7 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
     )
     home_goals = F.when(played, ((key * 31 + customer) % 5).cast("int"))
     away_goals = F.when(played, ((key * 17 + customer * 3) % 4).cast("int"))
-    return table(spark, folder, "orders").select(
+    return orders.select(
         F.lpad(league.cast("string"), 6, "0").alias("pool"),
         F.concat(F.lit("M"), F.lpad(key.cast("string"), 12, "0")).alias("match_id"),
         season.alias("season"),
@@ -134,3 +138,163 @@ def players(spark: SparkSession, folder: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(p) for p in positions]),
                      (F.col("p_size") % 10 + 1).cast("int")).alias("positions"),
     )
+
+
+def predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two forecast runs per league match: one before the match date, one around it."""
+    rows = matches(spark, folder).filter("competition = 'premier_league'")
+    k = F.col("order_no")
+    run = F.explode(F.array(F.lit(1), F.lit(2)))
+    staged = rows.select("*", run.alias("run"))
+    ph = 20 + (k * 7 + F.col("run")) % 41
+    pd = 15 + (k * 3 + F.col("run")) % 13
+    lead = F.when(F.col("run") == 1, 3).otherwise((k % 5).cast("int") - 3)
+    stamp = F.concat(F.date_sub("match_date", lead).cast("string"), F.lit("T12:30:00+00:00"))
+    p = [ph / 100.0, pd / 100.0, (100 - ph - pd) / 100.0]
+    pick = F.when((p[0] >= p[1]) & (p[0] >= p[2]), "H").when(p[1] >= p[2], "D").otherwise("A")
+    return staged.select(
+        F.concat(F.lit("run"), F.col("run").cast("string"), F.lit("-"), F.col("pool"), F.lit("-"),
+                 F.col("season"), F.lit("-"), F.col("matchday").cast("string")).alias("run_id"),
+        "match_id", "season", "matchday",
+        p[0].alias("p_home"), p[1].alias("p_draw"), p[2].alias("p_away"),
+        pick.alias("predicted_outcome"),
+        ((k % 30) / 10.0).alias("exp_home_goals"), ((k % 20) / 10.0).alias("exp_away_goals"),
+        ((k * 5) % 4).cast("int").alias("pred_home_goals"), ((k * 7) % 3).cast("int").alias("pred_away_goals"),
+        ((k % 17) / 100.0).alias("scoreline_prob"),
+        stamp.alias("created_at"),
+    )
+
+
+def model_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs those forecasts belong to, with metrics as JSON."""
+    return (
+        predictions(spark, folder)
+        .groupBy("run_id", F.col("season").alias("target_season"), F.col("matchday").alias("target_matchday"))
+        .agg(F.max("created_at").alias("created_at"), F.count("*").alias("n"))
+        .withColumn("metrics", F.to_json(F.struct(F.col("n").alias("n_predictions"))))
+        .drop("n")
+    )
+
+
+def unavailability(spark: SparkSession, folder: str) -> DataFrame:
+    """Players out of a club's squad in a round, from the returned lines of its home orders."""
+    lines = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "R").select(
+        F.concat(F.lit("M"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("match_id"), "l_linenumber"
+    )
+    league = matches(spark, folder).filter("competition = 'premier_league'")
+    return (
+        lines.join(league.select("match_id", "season", "matchday", F.col("home_team").alias("team")), "match_id")
+        .groupBy("season", "matchday", "team")
+        .agg(F.count("*").cast("int").alias("players_out"),
+             F.count_if(F.col("l_linenumber") == 1).cast("int").alias("key_players_out"))
+    )
+
+
+def european(spark: SparkSession, folder: str) -> DataFrame:
+    """A cup entry per club and season, from the club's first customer segment."""
+    clubs = table(spark, folder, "customer").groupBy(
+        club_name(F.floor(F.col("c_custkey") / 10)).alias("team")
+    ).agg(F.min("c_mktsegment").alias("segment"), F.max("c_mktsegment").alias("last"))
+    cup = (
+        F.when(F.col("last") == "MACHINERY", "champions_league")
+        .when(F.col("segment") == "AUTOMOBILE", "europa_league")
+        .when(F.col("segment") == "BUILDING", "conference_league").otherwise("none")
+    )
+    entries = clubs.select("team", cup.alias("competition"))
+    both = matches(spark, folder).select("season", F.col("home_team").alias("team")).distinct()
+    return both.join(entries, "team").select("season", "team", "competition")
+
+
+def archive_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The league's matches written in the archive's line format, one file per league.
+
+    Not every match repeats its heading, date or time, so a reader has to carry them.
+    """
+    key = F.col("order_no")
+    rows = matches(spark, folder)
+    months = F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()])
+    heading = F.when(key % 5 == 0, F.concat(F.lit("▪ Matchday "), (key % 38 + 1).cast("string")))
+    heading = F.when(key % 35 == 5, F.lit("▪ Semi-finals")).otherwise(heading)
+    month = F.element_at(months, F.month("match_date"))
+    day = F.dayofmonth("match_date").cast("string")
+    dated = F.when(
+        key % 3 == 0,
+        F.concat(F.lit("  Sat "), F.when(key % 2 == 0, F.concat_ws(" ", month, day)).otherwise(F.concat_ws(" ", day, month)),
+                 F.when(key % 12 == 0, F.concat(F.lit(" "), F.year("match_date").cast("string"))).otherwise("")),
+    )
+    score = F.concat_ws("-", F.col("home_goals").cast("string"), F.col("away_goals").cast("string"))
+    played = F.col("status") == "played"
+    time = F.when(key % 4 == 1, "    15:00  ").when(key % 4 == 2, "   9.30  ").otherwise("      ")
+    home = F.concat(F.col("home_team"), F.when(key % 2 == 0, " FC").otherwise(""))
+    line = F.when(
+        (key % 7 == 3) & played,
+        F.concat(time, home, F.lit("  "), score, F.lit(" (0-0)  "), F.col("away_team")),
+    ).otherwise(
+        F.concat(time, home, F.lit("  v "), F.col("away_team"),
+                 F.when(played & (key % 13 == 1), F.concat(F.lit("  5-4 pen. ("), score, F.lit(", 1-0)")))
+                 .when(played, F.concat(F.lit("  "), score, F.lit(" (0–1)"))).otherwise(""),
+                 F.when(key % 41 == 0, F.lit("  [abandoned]")).otherwise("")),
+    )
+    parts = F.array(heading, dated, F.when(key % 6 == 0, F.lit("# note")), line)
+    return rows.select(
+        F.lit("1994-95").alias("season"), F.lit("premier_league").alias("competition"),
+        F.col("pool").alias("file"), "order_no", F.posexplode(parts).alias("part", "line"),
+    ).filter("line is not null").select(
+        "season", "competition", "file", (F.col("order_no") * 4 + F.col("part")).alias("line_no"), "line"
+    )
+
+
+def availability_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a one-player snapshot in the nested JSON layout."""
+    kinds = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    null = F.lit(None).cast("string")
+    k = F.get_json_object("props", "$.k").cast("int")
+    payload = F.struct(
+        F.array(F.struct((F.col("user_id") % 20).alias("id"),
+                         F.concat(F.lit("Team "), (F.col("user_id") % 20).cast("string")).alias("name"))).alias("teams"),
+        F.array(F.struct(k.alias("id"), (k % 2 == 0).alias("is_next"))).alias("events"),
+        F.array(
+            F.struct(
+                F.col("user_id").alias("code"), F.col("event_id").alias("id"), F.col("event_type").alias("web_name"),
+                kind[F.col("event_type")].alias("element_type"), (F.col("user_id") % 20).alias("team"),
+                F.substring("event_type", 1, 1).alias("status"),
+                F.when(k % 4 == 0, null).otherwise(k.cast("string")).alias("chance_of_playing_next_round"),
+                F.concat(F.lit("  knock, \"minor\" "), k.cast("string"), F.lit(" ")).alias("news"),
+            )
+        ).alias("elements"),
+    )
+    return table(spark, folder, "events").select(
+        F.date_format("ts", "yyyy").alias("season"), F.col("ts").alias("observed_at"),
+        F.to_json(payload).alias("payload"),
+    )
+
+
+def spell_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Appointments as query answers in the bindings layout."""
+    value = lambda c: F.struct(c.cast("string").alias("value"))
+    row = F.struct(
+        value(F.concat(F.lit("http://example.org/entity/Q"), F.substring("team", 6, 9))).alias("club"),
+        value(F.col("manager")).alias("coachLabel"),
+        value(F.concat(F.col("start_date").cast("string"), F.lit("T00:00:00Z"))).alias("start"),
+        value(F.when(F.col("year_only"), 9).otherwise(11)).alias("startPrecision"),
+        F.when(F.col("end_date").isNotNull(),
+               value(F.concat(F.col("end_date").cast("string"), F.lit("T00:00:00Z")))).alias("end"),
+    )
+    return spells(spark, folder).select(
+        F.to_json(F.struct(F.struct(F.array(row).alias("bindings")).alias("results"))).alias("answer")
+    )
+
+
+def feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a one-item feed document."""
+    clean = lambda c: F.regexp_replace(c, "[<>&]", " ")
+    stamp = F.when(F.col("page_id") % 6 == 0, "").otherwise(
+        F.concat(F.lit("Tue, "), F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("page_id") % 200).cast("int")), "d MMM yyyy"),
+                 F.lit(" 10:00:00 GMT"))
+    )
+    return table(spark, folder, "pages").select(
+        F.concat(F.lit("<rss><channel><item><title>"), clean(F.col("url")), F.lit("</title><description>"),
+                 clean(F.regexp_extract("html", "<title>([^<]*)</title>", 1)),
+                 F.lit("</description><pubDate>"), stamp, F.lit("</pubDate></item></channel></rss>")).alias("xml")
+    )
