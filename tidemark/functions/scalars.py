@@ -120,6 +120,11 @@ def pretty_date(text: Column) -> Column:
     )
 
 
+def capped(value: Column, limit: int) -> Column:
+    """The smaller of the two; null stays null (``least`` would skip it)."""
+    return F.when(value > limit, F.lit(limit)).otherwise(value)
+
+
 def bounded_tail(items: Column, depth: int) -> Column:
     """The last ``depth`` elements of an array."""
     return F.slice(items, F.greatest(F.size(items) - depth + 1, F.lit(1)), depth)

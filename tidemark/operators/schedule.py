@@ -69,8 +69,9 @@ def assign_rounds(
     started = F.filter("_windows", lambda w: w.core_start <= F.col("match_date"))
     window = F.coalesce(F.get(started, F.size(started) - 1), F.get("_windows", F.lit(0)))
     moved_to = F.when(
-        F.abs(F.datediff("match_date", median)) <= CORE_DAYS, F.col("_round")
-    ).otherwise(window["round"])
+        F.col("_round").isNotNull(),
+        F.when(F.abs(F.datediff("match_date", median)) <= CORE_DAYS, F.col("_round")).otherwise(window["round"]),
+    )
     return joined.select(
         *[c for c in matches.columns if c not in ("matchday", "original_matchday")],
         F.col(scheduled).alias("original_matchday"),

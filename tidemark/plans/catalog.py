@@ -319,7 +319,7 @@ blk AS (SELECT q.match_id, q.team, count(*) AS fixtures, max(o.match_date) FILTE
   count(*) FILTER (o.match_date < q.match_date AND o.match_date >= q.match_date - 21) AS e21
   FROM sides q JOIN sides o ON o.pool = q.pool AND o.team = q.team AND o.block_key = q.block_key WHERE q.in_block GROUP BY ALL),
 nxt AS (SELECT q.match_id, q.team, min(o.match_date) AS next_date FROM sides q JOIN sides o ON o.pool = q.pool AND o.team = q.team AND o.match_date > q.match_date WHERE q.in_block GROUP BY ALL)
-SELECT q.match_id, q.team, CAST(least(q.match_date - greatest(l.last_played, b.last_listed), 21) AS DOUBLE) AS rest_days,
+SELECT q.match_id, q.team, CASE WHEN greatest(l.last_played, b.last_listed) IS NOT NULL THEN CAST(least(q.match_date - greatest(l.last_played, b.last_listed), 21) AS DOUBLE) END AS rest_days,
  CAST(coalesce(n14, 0) + e14 AS DOUBLE) AS matches_last_14d, CAST(coalesce(n21, 0) + e21 AS DOUBLE) AS matches_last_21d,
  CAST(fixtures AS DOUBLE) AS gameweek_fixtures, CAST(CASE WHEN next_date IS NOT NULL THEN least(next_date - q.match_date, 21) END AS DOUBLE) AS days_to_next_match
 FROM sides q LEFT JOIN lst l USING (match_id, team) LEFT JOIN blk b USING (match_id, team) LEFT JOIN nxt n USING (match_id, team)
@@ -393,7 +393,7 @@ cur AS (SELECT q.match_id, q.team, q.match_date, max(s.start_date) AS since FROM
   AND (s.end_date IS NULL OR q.match_date <= s.end_date) WHERE q.in_block GROUP BY ALL),
 u AS (SELECT c.match_id, c.team, c.match_date, c.since, count(h.o_id) FILTER (h.o_date >= since) AS n, avg(h.pts) FILTER (h.o_date >= since) AS now_ppg,
   avg(h.pts) FILTER (h.o_date < since) AS was FROM cur c LEFT JOIN hist h ON h.match_id = c.match_id AND h.team = c.team GROUP BY ALL)
-SELECT match_id, team, CAST(least(match_date - since, 2000) AS DOUBLE) AS manager_days, CASE WHEN since IS NOT NULL THEN CAST(n AS DOUBLE) END AS manager_matches,
+SELECT match_id, team, CASE WHEN since IS NOT NULL THEN CAST(least(match_date - since, 2000) AS DOUBLE) END AS manager_days, CASE WHEN since IS NOT NULL THEN CAST(n AS DOUBLE) END AS manager_matches,
  CASE WHEN since IS NOT NULL THEN CAST(n < 6 AS DOUBLE) END AS manager_is_new, round(now_ppg - was, 6) AS manager_ppg_delta FROM u""")
 def manager_tenure(spark, d):
     state = team_state(_sides(spark, d)).filter("in_block")
