@@ -18,14 +18,16 @@ def running(
     order: list[str],
     lasts: dict[str, Column] | None = None,
     sums: dict[str, Column] | None = None,
-    strict: bool = False,
+    priors: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running values up to the current row, or strictly before it.
+    """Add running values.
 
-    ``lasts``: the last non-null value; ``sums``: the running total. ``chunk`` must rise with the
-    order inside a key.
+    ``lasts``: the last non-null value up to the row; ``priors``: the same strictly before the row;
+    ``sums``: the running total up to the row. ``chunk`` must rise with the order inside a key.
     """
-    lasts, sums = lasts or {}, sums or {}
+    priors, sums = priors or {}, sums or {}
+    wanted = list(lasts or {})
+    lasts = {**(lasts or {}), **priors}
     staged = rows.select(
         "*", *[v.alias(f"_v_{n}") for n, v in lasts.items()], *[v.alias(f"_s_{n}") for n, v in sums.items()]
     ).repartition(*keys, chunk)
@@ -40,13 +42,13 @@ def running(
         *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
         *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
     )
-    inside = (
-        Window.partitionBy(*keys, chunk).orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-    )
+    ordered = Window.partitionBy(*keys, chunk).orderBy(*order)
+    inside = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     local = staged.select(
-        *rows.columns, 
-        *[F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(f"_l_{n}") for n in lasts],
+        *rows.columns,
+        *[F.last(f"_v_{n}", ignorenulls=True).over(inside if n in wanted else earlier).alias(f"_l_{n}")
+          for n in lasts],
         *[F.sum(f"_s_{n}").over(inside).alias(f"_l_{n}") for n in sums],
     )
     joined = local.join(carry, [*keys, chunk], "left")

@@ -658,8 +658,8 @@ def expected_goals(spark, d):
 
 @query(_RATES + "SELECT h, a, count(*) AS n, round(avg(p), 6) AS mean_p, round(max(p), 6) AS max_p FROM cells GROUP BY ALL")
 def score_grid(spark, d):
-    cells = R.add_score_grid(_rate_rows(spark, d)).select(F.explode("cells").alias("c")).select(
-        F.col("c.h").cast("bigint").alias("h"), F.col("c.a").cast("bigint").alias("a"), F.col("c.p").alias("p"))
+    cells = R.score_grid(_rate_rows(spark, d)).select(
+        F.col("h").cast("bigint").alias("h"), F.col("a").cast("bigint").alias("a"), "p")
     return cells.groupBy("h", "a").agg(
         F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.max("p"), 6).alias("max_p"))
 
@@ -670,7 +670,7 @@ t AS (SELECT match_id, sum(h * p) AS eh, sum(a * p) AS ea, sum(p) FILTER (h > a)
 SELECT match_id, round(eh, 3) AS exp_home_goals, round(ea, 3) AS exp_away_goals, CAST(best.h AS INTEGER) AS pred_home_goals, CAST(best.a AS INTEGER) AS pred_away_goals,
  round(best.p, 6) AS scoreline_prob, round(ph, 6) AS poisson_p_home, round(pd, 6) AS poisson_p_draw, round(pa, 6) AS poisson_p_away FROM t JOIN best USING (match_id)""")
 def score_reductions(spark, d):
-    rows = R.reduce_grid(R.add_score_grid(_rate_rows(spark, d)), "pick")
+    rows = R.reduce_scores(_rate_rows(spark, d), "pick")
     return r6(rows.drop("pool", "cutoff", "home_team", "away_team", "pick", "home_rate", "away_rate", "rho"),
               "scoreline_prob", "poisson_p_home", "poisson_p_draw", "poisson_p_away")
 
