@@ -25,6 +25,7 @@ from tidemark.operators import text as TX
 from tidemark.operators.rating import expected_home, rate_matches
 from tidemark.operators.timeline import sides, team_state, timeline
 from tidemark.plans import features as FT
+from tidemark.plans import forecast as FC
 from tidemark.plans import oracle_base as B
 from tidemark.plans import serving as SV
 from tidemark.session import stage
@@ -618,6 +619,17 @@ def goal_rate_fit(spark, d):
     return R.fit_rates(m, cuts, rounds=8)
 
 
+@query()
+def walk_forward_goals(spark, d):
+    rows = FC.walk_forward_goals(A.matches(spark, d), rounds=6)
+    p = {"H": "poisson_p_home", "D": "poisson_p_draw", "A": "poisson_p_away"}
+    scored = rows.select(
+        "season", *[F.col(c).alias(E.PROBABILITIES[k]) for k, c in p.items()], F.col("result").alias("actual"),
+        "home_goals", "away_goals", "pred_home_goals", "pred_away_goals", "exp_home_goals", "exp_away_goals"
+    ).withColumn("predicted", O.pick())
+    return E.summarise(scored)
+
+
 def _simple_params(spark, d):
     """Strengths from plain averages, so the grid has a SQL twin."""
     rows = _sides(spark, d).filter("played")
