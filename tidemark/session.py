@@ -42,20 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    spark = frame.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint(eager=True)
-
-
 def stage(frame: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
-    Used where a result feeds several branches and is too dear to compute for each. Unlike a
-    checkpoint the copy is columnar, so every branch reads only its own columns.
+    Used where a result feeds several branches and is too dear to compute for each, and to cut the
+    lineage of iterations. The copy survives lost executors, and it is columnar, so every branch
+    reads only its own columns.
     """
     path = f"{shared_folder(frame.sparkSession)}/stage-{uuid.uuid4().hex}/{label}"
     frame.write.parquet(path)
