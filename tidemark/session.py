@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +26,30 @@ def build_session(app: str = "tidemark", cores: int | str = "*", partitions: int
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session.
+
+    Spark's own file server carries it, so workers find it whatever folder they start in.
+    """
+    if getattr(ship, "sent_to", None) == spark.sparkContext.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    ship.sent_to = spark.sparkContext.applicationId
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a test or a laptop) is
-    a temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session (a test or a laptop) may leave it
+    unset and gets a temporary folder; elsewhere executors would write to folders of their own, so that is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -37,6 +57,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all nodes of {master} share")
     made = tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
