@@ -1,0 +1,23 @@
+"""Stages of the corpus pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import mixing
+from tidemark.llm.common import table
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.queries import tokenizer_path
+from tidemark.session import stage
+
+STAGES: list = []
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = step(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stage(docs, name)
+    return docs
