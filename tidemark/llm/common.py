@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.session import ship
 
@@ -27,5 +26,14 @@ def crc_bucket(column, buckets: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % buckets
 
 
-def record_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int) -> DataFrame:
+    """text and label of at most ``most`` labelled documents.
+
+    The choice is made on the narrow label table, by hash; it is bounded, so sending it to the documents' tasks is too.
+    """
+    chosen = (
+        labels.filter(allowed & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+        .groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    )
+    return docs.join(F.broadcast(chosen), "doc_id")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import line_rules, mixing
-from tidemark.llm.common import table
+from tidemark.llm import line_rules, main_text, mixing, one_bit_search, quality_trees, toxicity, warc
+from tidemark.llm.common import crc_bucket, table
 from tidemark.llm.packing import pack_documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicate(table(spark, sf_dir, "pages"))
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -26,13 +30,43 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = crc_bucket("doc_id", 5) == 0
+    trees = quality_trees.learn(docs, labels, ~held_out)
+    scored = quality_trees.score(docs, trees, 0.3)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = crc_bucket("doc_id", 3) == 1
+    weights = toxicity.learn(docs, labels, ~held_out)
+    scored = toxicity.score(docs, weights, 0.7)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return one_bit_search.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), "vec_id", "embedding")
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_vector_packing": op2_vector_packing,
     "op3_mixing_sources": op3_mixing_sources,
+    "op4_quality_trees": op4_quality_trees,
+    "op6_toxicity": op6_toxicity,
+    "op7_one_bit_search": op7_one_bit_search,
+    "op8_main_text": op8_main_text,
     "op10_line_rules": op10_line_rules,
 }
 
