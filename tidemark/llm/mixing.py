@@ -132,3 +132,14 @@ def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame
     first = F.coalesce(F.array_min("times"), F.lit(2.0))
     parts = [partitions] if partitions else []
     return mixed.withColumn("_first", first).repartitionByRange(*parts, "_first", "doc_id").sortWithinPartitions("_first", "doc_id").drop("_first")
+
+
+def apply_mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
+    """The mixed corpus: each document once for every copy the mix takes, range-sorted by the copies' training times.
+
+    All columns stay. Documents without words are no part of a mix. Rows that share an id share its number of copies.
+    """
+    mixed = mix(docs, plan)
+    times = mixed.select(F.col("doc_id").alias("_id"), "times").filter(F.size("times") > 0).dropDuplicates(["_id"])
+    copies = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id"))).select(*[docs[c] for c in docs.columns], F.explode("times").alias("_time"))
+    return copies.repartitionByRange("_time", "doc_id").sortWithinPartitions("_time", "doc_id").drop("_time")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import line_rules, main_text, mixing, one_bit_search, quality_trees, toxicity, warc
+from tidemark.llm import line_rules, main_text, mixing, ngram_join, one_bit_search, private_data, quality_trees, toxicity, warc
 from tidemark.llm.common import crc_bucket, table
 from tidemark.llm.packing import pack_documents
 
@@ -38,6 +38,10 @@ def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = crc_bucket("doc_id", 3) == 1
@@ -55,6 +59,11 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return private_data.find(docs, private_data.learn(docs))
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -64,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vector_packing": op2_vector_packing,
     "op3_mixing_sources": op3_mixing_sources,
     "op4_quality_trees": op4_quality_trees,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
     "op7_one_bit_search": op7_one_bit_search,
     "op8_main_text": op8_main_text,
+    "op9_private_data": op9_private_data,
     "op10_line_rules": op10_line_rules,
 }
 

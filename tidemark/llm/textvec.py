@@ -131,4 +131,5 @@ def shingles(words: np.ndarray, starts: np.ndarray, size: int = 5) -> tuple[np.n
 
 
 def _fold(words: np.ndarray) -> np.uint64:
-    return mix(np.sum(words * np.array(_STEP[: len(words)], np.uint64), dtype=np.uint64) + np.uint64(len(words)) * _STEP[4])
+    folded = np.sum(words * np.array(_STEP[: len(words)], np.uint64), dtype=np.uint64, keepdims=True)
+    return mix(folded + np.array([len(words)], np.uint64) * _STEP[4])[0]
