@@ -131,8 +131,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, plan: Boosting =
     """Trees from the statistics of the labelled documents that ``allowed`` admits; without any, every score is one half."""
     rows = training_rows(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), "quality", allowed, plan.rows)
     found = features(rows).orderBy("doc_id", "stats").select("stats", "label").collect()
-    stats = np.array([r["stats"] for r in found]).reshape(len(found), -1)
-    return fit(stats, np.array([r["label"] for r in found]), plan)
+    stats = np.array([r["stats"] for r in found], float)
+    return fit(stats if len(found) else np.empty((0, 0)), np.array([r["label"] for r in found]), plan)
 
 
 def score(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:
