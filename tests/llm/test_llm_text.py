@@ -127,7 +127,7 @@ def test_line_rules_odd_rows_and_counts(spark):
 
 def test_depleted_documents_go(spark):
     shared = "this very line stands in many documents of the host"
-    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    own = lambda i: " ".join(f"{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
     rows = [(i, f"{shared.upper() if i % 2 else shared}\n{own(i)}", "h") for i in range(12)]
     rows += [(100, "\n".join([shared] * 3 + [own(5)[:20]] + [" ".join(f"q{k}" for k in range(40))]), "g")]
     rows += [(200 + i, own(i % 2), "h") for i in range(12)]
@@ -170,7 +170,7 @@ def test_private_data_end_to_end(spark):
         return next(head + d for d in "0123456789" if private_data.luhn(head + d))
 
     words = lambda: " ".join(draw.choices(["the", "on", "ering", "thand", "of"], k=12))
-    rows = [(i, f"{words()} {draw.choice([card(), '+1 (438) 555-%04d' % i, 'ab.%d@mail.example.com' % i, '10.%d.3.4' % (i % 200)])} {words()}", "s")
+    rows = [(3000 + i, f"{words()} {draw.choice([card(), '+1 (438) 555-%04d' % i, 'ab.%d@mail.example.com' % i, '10.%d.3.4' % (i % 200)])} {words()}", "s")
             for i in range(400)]
     adjacent = f"{words()} +1 (689) 555-1019 {card()} {words()}"
     rows += [(1000, adjacent, "s"), *ODD, (2000, words(), "s")]

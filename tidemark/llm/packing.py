@@ -26,6 +26,9 @@ class Limits:
     pool: int = 1024
 
 
+GONE = 1e18
+
+
 class Packer:
     """Fills one sequence after another from a bounded pool of pieces.
 
@@ -52,7 +55,7 @@ class Packer:
             self.demand = np.concatenate([self.demand, new])
 
     def sequences(self, keep: int) -> Iterator[tuple[int, list[tuple]]]:
-        """Sequences until at most ``keep`` pieces are in the pool. Placed pieces get an infinite demand."""
+        """Sequences until at most ``keep`` pieces are in the pool. Placed pieces get a demand that nothing can hold."""
         waiting = len(self.items)
         while waiting > keep:
             left, placed, demand = self.scale.copy(), [], self.demand
@@ -62,7 +65,7 @@ class Packer:
                 if value[best] >= 0:
                     placed.append(self.items[best])
                     left -= demand[best]
-                    demand[best] = np.inf
+                    demand[best] = GONE
                     waiting -= 1
                     continue
                 cut = self._cut(left)
@@ -72,12 +75,12 @@ class Packer:
                 left -= (cut[2], 1, self.loss_of(cut))
             yield self.sequence, placed
             self.sequence += 1
-        alive = np.isfinite(self.demand[:, 0])
+        alive = self.demand[:, 0] < GONE
         self.items = [x for x, a in zip(self.items, alive) if a]
         self.demand = self.demand[alive]
 
     def _cut(self, left: np.ndarray) -> tuple | None:
-        size = np.where(np.isfinite(self.demand[:, 0]), self.demand[:, 0], 0)
+        size = np.where(self.demand[:, 0] < GONE, self.demand[:, 0], 0)
         at = int(np.argmax(size))
         if size[at] < 2:
             return None
