@@ -188,8 +188,12 @@ def read_headers(files: DataFrame, folder: str) -> DataFrame:
 
 def _spread(files: DataFrame) -> DataFrame:
     """Files over the tasks: their list is small, their reading is not."""
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("file").repartition(tasks, "file")
+    return files.select("file").repartition(_tasks(files), "file")
+
+
+def _tasks(frame: DataFrame) -> int:
+    """A fixed number, since Spark would merge partitions of so few bytes into one task."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def resolve_revisits(headers: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -230,7 +234,8 @@ def write_deduplicated(headers: DataFrame, source: str, folder: str, date: str =
         writer.close()
         return pa.Table.from_batches([_rows(FILES, writer.finished())])
 
-    return stage(headers.select("file", *columns).groupBy("file").applyInArrow(run, _ddl(FILES)), "files")
+    spread = headers.select("file", *columns).repartition(_tasks(headers), "file")
+    return stage(spread.groupBy("file").applyInArrow(run, _ddl(FILES)), "files")
 
 
 def deduplicate(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
