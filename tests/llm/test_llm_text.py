@@ -184,9 +184,13 @@ def test_private_data_end_to_end(spark):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
     by_id = {r.doc_id: r for r in out}
-    assert by_id[1000].n_card == 0 and "card" in by_id[1000].spans and by_id[2000].spans == ""
+    assert by_id[2000].spans == ""
+    finder = tagger.finder
+    ids, tags = private_data.labelled_windows([t for i, t, _ in rows if (i or 0) >= 3000], finder)
+    assert (char_tagger.decode(tagger.parameters, ids) == tags)[tags > 0].mean() > 0.95
     clean = {r.doc_id: r.text for r in private_data.redact(frame, tagger).collect()}
-    assert "[CARD]" in clean[1000] and clean[1] is None and clean[2000] == texts[2000]
+    assert clean[1] is None and clean[2000] == texts[2000] and "[" in clean[3000]
+    assert "[PHONE] [CARD]" in clean[1000], "the exact patterns run both together and find none"
     assert private_data.find(docs_of(spark, []), tagger).count() == 0
 
 
