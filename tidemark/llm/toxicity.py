@@ -73,11 +73,15 @@ def _dense(slots: bytes, values: bytes, bits: int) -> np.ndarray:
     return table
 
 
-def fit(texts: list[str | None], labels: np.ndarray, plan: Ftrl = Ftrl()) -> Weights:
+def distinct_slots(texts: list[str | None], bits: int) -> list[np.ndarray]:
+    slots, begin = features(texts, bits)
+    return [np.unique(slots[begin[i]: begin[i + 1]]).astype(np.int32) for i in range(len(texts))]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, plan: Ftrl = Ftrl()) -> Weights:
     """One weight per slot: each has its own rate, from the squares of its gradients, and is zero until the sum of its
-    gradients outweighs ``l1``."""
-    slots, begin = features(texts, plan.bits)
-    rows = [np.append(np.unique(slots[begin[i]: begin[i + 1]]), 1 << plan.bits) for i in range(len(texts))]
+    gradients outweighs ``l1``. rows: the distinct slots of each text."""
+    rows = [np.append(x, np.int32(1 << plan.bits)) for x in rows]
     z, n = np.zeros((1 << plan.bits) + 1), np.zeros((1 << plan.bits) + 1)
     order = np.random.default_rng(plan.seed)
     bias = 1 << plan.bits
@@ -88,7 +92,7 @@ def fit(texts: list[str | None], labels: np.ndarray, plan: Ftrl = Ftrl()) -> Wei
         return np.where(np.abs(z[at]) <= free, 0.0, w)
 
     for _ in range(plan.passes):
-        for i in order.permutation(len(texts)):
+        for i in order.permutation(len(rows)):
             at = rows[i]
             w = weights(at)
             gap = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
@@ -102,8 +106,18 @@ def fit(texts: list[str | None], labels: np.ndarray, plan: Ftrl = Ftrl()) -> Wei
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, plan: Ftrl = Ftrl()) -> Weights:
     """Weights from the labelled documents that ``allowed`` admits; without any, all weights are zero."""
     rows = training_rows(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), "toxic", allowed, plan.rows)
-    rows = rows.orderBy("doc_id", "text").select("text", "label").collect()
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows]), plan)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [x.tobytes() for x in distinct_slots(batch.column("text").to_pylist(), plan.bits)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label"), pa.array(slots, pa.binary())], ["doc_id", "label", "slots"])
+
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id long, label double, slots binary")
+    found = found.orderBy("doc_id", "slots").select("label", "slots").toArrow()
+    labels = found.column("label").to_numpy()
+    return fit([np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")], labels, plan)
 
 
 def score(docs: DataFrame, weights: Weights, threshold: float = 0.7) -> DataFrame:
