@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import outcome, season_of
+from tidemark.functions.scalars import outcome, padded, season_of
 
 PLAYED_BEFORE = "2001-06-01"
 
@@ -20,7 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def club_name(number: Column) -> Column:
-    return F.concat(F.lit("Club "), F.lpad(number.cast("string"), 9, "0"))
+    return F.concat(F.lit("Club "), padded(number, 9))
 
 
 def matches(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,8 +52,8 @@ def matches_of(orders: DataFrame) -> DataFrame:
     home_goals = F.when(played, ((key * 31 + customer) % 5).cast("int"))
     away_goals = F.when(played, ((key * 17 + customer * 3) % 4).cast("int"))
     return orders.select(
-        F.lpad(league.cast("string"), 6, "0").alias("pool"),
-        F.concat(F.lit("M"), F.lpad(key.cast("string"), 12, "0")).alias("match_id"),
+        padded(league, 6).alias("pool"),
+        F.concat(F.lit("M"), padded(key, 12)).alias("match_id"),
         season.alias("season"),
         competition.alias("competition"),
         F.when(in_league, round_no).alias("matchday"),
@@ -77,7 +77,7 @@ def match_stats(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
         .select(
-            F.concat(F.lit("M"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("match_id"),
+            F.concat(F.lit("M"), padded(F.col("l_orderkey"), 12)).alias("match_id"),
             F.floor(F.col("q") / 8).cast("double").alias("home_shots"),
             (F.col("n") * 3).cast("double").alias("away_shots"),
             F.floor(F.col("q") / 16).cast("double").alias("home_shots_on_target"),
@@ -179,7 +179,7 @@ def model_runs(spark: SparkSession, folder: str) -> DataFrame:
 def unavailability(spark: SparkSession, folder: str) -> DataFrame:
     """Players out of a club's squad in a round, from the returned lines of its home orders."""
     lines = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "R").select(
-        F.concat(F.lit("M"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("match_id"), "l_linenumber"
+        F.concat(F.lit("M"), padded(F.col("l_orderkey"), 12)).alias("match_id"), "l_linenumber"
     )
     league = matches(spark, folder).filter("competition = 'premier_league'")
     return (
@@ -274,7 +274,7 @@ def spell_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Appointments as query answers in the bindings layout."""
     value = lambda c: F.struct(c.cast("string").alias("value"))
     row = F.struct(
-        value(F.concat(F.lit("http://example.org/entity/Q"), F.substring("team", 6, 9))).alias("club"),
+        value(F.concat(F.lit("http://example.org/entity/Q"), F.regexp_extract("team", "([0-9]+)$", 1))).alias("club"),
         value(F.col("manager")).alias("coachLabel"),
         value(F.concat(F.col("start_date").cast("string"), F.lit("T00:00:00Z"))).alias("start"),
         value(F.when(F.col("year_only"), 9).otherwise(11)).alias("startPrecision"),

@@ -67,6 +67,7 @@ class OutcomeSettings:
     max_rounds: int = 1200
     min_rounds: int = 40
     fallback_rounds: int = 150
+    patience: int = 60
     validation_fraction: float = 0.15
     min_probe_rows: int = 200
     min_validation_rows: int = 60

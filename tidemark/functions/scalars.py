@@ -34,6 +34,12 @@ def season_of_file(path: Column) -> Column:
     )
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number's digits with leading zeros up to a width. A longer number stays whole, unlike with a plain lpad."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def outcome(home: Column, away: Column) -> Column:
     return F.when(home > away, "H").when(home < away, "A").when(home == away, "D")
 

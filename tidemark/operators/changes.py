@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +23,17 @@ def emit_changes(
 
     Rows compare with their predecessor inside (key, day); a day's first row compares with the last
     row of the key's previous day, taken from one summary row per key and day. A window group is one
-    day of a key, or one row per day.
+    day of a key, or one row per day. Null keys are keys like others; rows without a stamp are the earliest.
     """
     state = F.struct(*[F.col(c) for c in tracked])
     at = F.struct(*[F.col(c) for c in order])
     rows = observations.withColumn("_state", state).withColumn("_day", F.to_date(order[0]))
-    ends = rows.groupBy(*keys, "_day").agg(F.max_by("_state", at).alias("_end"))
+    ends = rows.groupBy(*keys, "_day").agg(F.max(F.struct(at.alias("at"), F.col("_state").alias("s")))["s"].alias("_end"))
     ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_day")))
     inside = Window.partitionBy(*keys, "_day").orderBy(*order)
-    joined = rows.withColumn("_prev", F.lag("_state").over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    ).join(ends.select(*keys, "_day", "_before"), [*keys, "_day"])
+    numbered = rows.withColumn("_prev", F.lag("_state").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    same = [numbered[k].eqNullSafe(ends[k]) for k in [*keys, "_day"]]
+    joined = numbered.join(ends, reduce(and_, same)).select(*[numbered[c] for c in numbered.columns], ends["_before"])
     previous = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_prev"))
     return joined.filter(~F.col("_state").eqNullSafe(previous)).select(*observations.columns)
 

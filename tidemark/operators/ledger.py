@@ -33,16 +33,21 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
 
 def insert_absent(
     existing: DataFrame, incoming: DataFrame, keys: list[str], known: DataFrame | None = None,
-    known_key: str = "match_id",
+    known_key: str = "match_id", order: str | None = None,
 ) -> DataFrame:
-    """Existing rows plus incoming ones whose key is new and whose match is known. First writer wins."""
+    """Existing rows plus incoming ones whose key is new and whose match is known. First writer wins.
+
+    Of incoming rows with one key the first in the batch's ``order`` column wins, or without one the least by all
+    values: the same whichever way the rows arrive.
+    """
     fresh = incoming.join(existing.select(*keys), keys, "left_anti")
     if known is not None:
         fresh = fresh.join(known.select(known_key).distinct(), known_key, "left_semi")
     rest = [c for c in existing.columns if c not in keys]
     if rest:
         fresh = (
-            fresh.groupBy(*keys).agg(F.any_value(F.struct(*rest)).alias("r")).select(*keys, "r.*")
+            fresh.groupBy(*keys).agg(F.min(F.struct(*([F.col(order).alias("_order")] if order else []), *rest)).alias("r"))
+            .select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
         )
     else:
         fresh = fresh.select(*keys).distinct()

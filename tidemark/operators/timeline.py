@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import FEATURES, LEAGUE_COMPETITIONS, TARGET_COMPETITION
-from tidemark.functions.scalars import bounded_tail, points
+from tidemark.functions.scalars import bounded_tail, padded, points
 
 SIDE_STATS = ("shots", "shots_on_target")
 
@@ -46,7 +46,7 @@ def timeline(matches: DataFrame, target: str = TARGET_COMPETITION) -> DataFrame:
         in_block,
         F.concat_ws(
             "|", F.col("round_start"), F.lit("0"), F.col("season"),
-            F.lpad(F.col("block_round").cast("string"), 4, "0"),
+            padded(F.col("block_round"), 4),
         ),
     ).otherwise(F.concat_ws("|", F.col("match_date"), F.lit("1"), kickoff, F.col("match_id")))
     return (

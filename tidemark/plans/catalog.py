@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import adapters as A
@@ -424,7 +424,7 @@ def squad_ratings(spark, d):
 
 
 _CARRY = _SQUADS + """,
-rt AS (SELECT * FROM sq WHERE defence > attack),
+rt AS (SELECT * FROM sq),
 sn AS (SELECT season, row_number() OVER (ORDER BY season) AS ix FROM (SELECT season FROM rt UNION SELECT season FROM matches)),
 cf AS (SELECT s.season, r.team, arg_max(r.season, e.ix) AS edition, arg_max(r.overall, e.ix) AS overall, s.ix - max(e.ix) AS age
  FROM sn s JOIN sn e ON e.ix <= s.ix JOIN rt r ON r.season = e.season GROUP BY s.season, s.ix, r.team)
@@ -434,7 +434,7 @@ cf AS (SELECT s.season, r.team, arg_max(r.season, e.ix) AS edition, arg_max(r.ov
 @query(_CARRY.replace("WITH ", "WITH " + B.MATCHES + ",", 1) + """, sc AS (SELECT season AS edition, avg(overall) AS mean, coalesce(nullif(stddev_samp(overall), 0), 1) AS sd FROM cf GROUP BY ALL)
 SELECT season, team, round((overall - mean) / sd, 5) AS squad_overall_z, CAST(age AS DOUBLE) AS squad_rating_age FROM cf JOIN sc USING (edition)""")
 def rating_carry_forward(spark, d):
-    ratings = SQ.squad_ratings(A.players(spark, d)).filter("defence > attack").drop("source")
+    ratings = SQ.squad_ratings(A.players(spark, d))
     carried = SQ.carry_forward(ratings, A.matches(spark, d).select("season").distinct())
     return SQ.squad_features(carried).select(
         "season", "team", F.round("squad_overall_z", 5).alias("squad_overall_z"), "squad_rating_age")
@@ -442,7 +442,7 @@ def rating_carry_forward(spark, d):
 
 @query("WITH " + B.SIDES + """,
 una AS (SELECT m.season, m.matchday, m.home_team AS team, count(*) AS players_out, count(*) FILTER (l_linenumber = 1) AS key_players_out
- FROM lineitem JOIN matches m ON m.match_id = 'M' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') WHERE l_returnflag = 'R' AND competition = 'premier_league' GROUP BY ALL)
+ FROM lineitem JOIN matches m ON m.match_id = 'M' || lpad(CAST(l_orderkey AS VARCHAR), greatest(12, length(CAST(l_orderkey AS VARCHAR)))::INT, '0') WHERE l_returnflag = 'R' AND competition = 'premier_league' GROUP BY ALL)
 SELECT match_id, team, CAST(players_out AS DOUBLE) AS players_out, CAST(key_players_out AS DOUBLE) AS key_players_out
 FROM sides LEFT JOIN una USING (season, matchday, team) WHERE in_block""")
 def availability_lookup(spark, d):
@@ -452,7 +452,7 @@ def availability_lookup(spark, d):
 
 
 @query("WITH " + B.SIDES + """,
-cl AS (SELECT 'Club ' || lpad(CAST(c_custkey // 10 AS VARCHAR), 9, '0') AS team, min(c_mktsegment) AS a, max(c_mktsegment) AS z FROM customer GROUP BY ALL),
+cl AS (SELECT 'Club ' || lpad(CAST(c_custkey // 10 AS VARCHAR), greatest(9, length(CAST(c_custkey // 10 AS VARCHAR)))::INT, '0') AS team, min(c_mktsegment) AS a, max(c_mktsegment) AS z FROM customer GROUP BY ALL),
 eu AS (SELECT DISTINCT m.season, m.home_team AS team, CASE WHEN z = 'MACHINERY' THEN 3.0::DOUBLE WHEN a = 'AUTOMOBILE' THEN 2.0::DOUBLE WHEN a = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS tier
  FROM matches m JOIN cl ON cl.team = m.home_team)
 SELECT match_id, team, coalesce(tier, 0.0::DOUBLE) AS european_tier FROM sides LEFT JOIN eu USING (season, team)""")
@@ -578,6 +578,17 @@ def column_admission(spark, d):
     return O.column_admission(train, rows.filter("match_date >= date'2001-06-01'"), _ADMIT_COLUMNS)
 
 
+@query("""WITH l AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS round, o_totalprice AS loss FROM orders),
+b AS (SELECT *, arg_min(round, (loss, round)) OVER (PARTITION BY o_custkey ORDER BY round ROWS UNBOUNDED PRECEDING) AS best FROM l)
+SELECT o_custkey, coalesce(min_by(best, round) FILTER (round - best >= 4), max_by(best, round)) AS best_round FROM b GROUP BY o_custkey""")
+def early_stopping_round(spark, d):
+    """A customer's orders as a model's rounds, their prices as losses; patience of four."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    losses = A.table(spark, d, "orders").select(
+        "o_custkey", F.row_number().over(order).cast("long").alias("round"), F.col("o_totalprice").alias("loss"))
+    return O.stopping_round(losses, ["o_custkey"], 4)
+
+
 @query()
 def outcome_forecasts(spark, d):
     rows = _features(spark, d)
@@ -616,12 +627,12 @@ def goal_sums_by_cutoff(spark, d):
 def goal_rate_fit(spark, d):
     m = A.matches(spark, d)
     cuts = m.groupBy("pool").agg((F.max("match_date")).alias("cutoff"))
-    return R.fit_rates(m, cuts, rounds=8)
+    return R.fit_rates(m, cuts)
 
 
 @query()
 def walk_forward_goals(spark, d):
-    rows = FC.walk_forward_goals(A.matches(spark, d), rounds=6)
+    rows = FC.walk_forward_goals(A.matches(spark, d))
     p = {"H": "poisson_p_home", "D": "poisson_p_draw", "A": "poisson_p_away"}
     scored = rows.select(
         "season", *[F.col(c).alias(E.PROBABILITIES[k]) for k, c in p.items()], F.col("result").alias("actual"),
@@ -926,7 +937,7 @@ def gap_filled_spells(spark, d):
     return I.fill_gaps(primary, s.filter("year_only").withColumn("source", F.lit("manual")))
 
 
-@query("""WITH r AS (SELECT 'Club ' || lpad(CAST(o_custkey // 10 AS VARCHAR), 9, '0') AS team, o_orderpriority AS item, count(*) AS n, min(o_orderkey) AS row_no FROM orders GROUP BY ALL)
+@query("""WITH r AS (SELECT 'Club ' || lpad(CAST(o_custkey // 10 AS VARCHAR), greatest(9, length(CAST(o_custkey // 10 AS VARCHAR)))::INT, '0') AS team, o_orderpriority AS item, count(*) AS n, min(o_orderkey) AS row_no FROM orders GROUP BY ALL)
 SELECT team, arg_max(item, n * 1000000000 - row_no) AS item, max(n) AS n FROM r GROUP BY team""")
 def best_items(spark, d):
     rows = A.table(spark, d, "orders").groupBy(
@@ -965,7 +976,7 @@ def attributed_headlines(spark, d):
 
 
 @query("WITH " + B.SPELLS + """, ap AS (SELECT team, max(start_date) AS appointed FROM spells GROUP BY team),
-ch AS (SELECT c_custkey, 'Club ' || lpad(CAST(c_custkey // 10 AS VARCHAR), 9, '0') AS team, DATE '2001-01-01' + CAST(c_custkey % 230 AS INTEGER) AS published FROM customer)
+ch AS (SELECT c_custkey, 'Club ' || lpad(CAST(c_custkey // 10 AS VARCHAR), greatest(9, length(CAST(c_custkey // 10 AS VARCHAR)))::INT, '0') AS team, DATE '2001-01-01' + CAST(c_custkey % 230 AS INTEGER) AS published FROM customer)
 SELECT c_custkey, team, published FROM ch LEFT JOIN ap USING (team) WHERE DATE '2001-07-01' - published >= 3 AND (appointed IS NULL OR appointed < published - 7)""")
 def unconfirmed_changes(spark, d):
     told = A.table(spark, d, "customer").select(
@@ -1061,7 +1072,7 @@ def availability_from_json(spark, d):
 @query("WITH " + B.SPELLS + "SELECT team, manager, start_date, end_date, year_only FROM spells")
 def spells_from_bindings(spark, d):
     clubs = A.table(spark, d, "customer").select(A.club_name(F.floor(F.col("c_custkey") / 10)).alias("team")).distinct()
-    ids = clubs.withColumn("wikidata_id", F.concat(F.lit("Q"), F.substring("team", 6, 9)))
+    ids = clubs.withColumn("wikidata_id", F.concat(F.lit("Q"), F.regexp_extract("team", "([0-9]+)$", 1)))
     return FD.spell_rows(A.spell_answers(spark, d), ids)
 
 

@@ -8,16 +8,16 @@ m2 AS (SELECT *, lg * 20 + (club % 20 + 1 + k % 19) % 20 AS rival,
   CAST((d - make_date(sy, 8, 1)) // 10 + 1 AS INTEGER) AS rnd,
   pr NOT IN ('4-NOT SPECIFIED', '5-LOW') AS league, d < DATE '2001-06-01' AS done FROM m1),
 matches AS (SELECT
-  lpad(CAST(lg AS VARCHAR), 6, '0') AS pool,
-  'M' || lpad(CAST(k AS VARCHAR), 12, '0') AS match_id,
+  lpad(CAST(lg AS VARCHAR), greatest(6, length(CAST(lg AS VARCHAR)))::INT, '0') AS pool,
+  'M' || lpad(CAST(k AS VARCHAR), greatest(12, length(CAST(k AS VARCHAR)))::INT, '0') AS match_id,
   CAST(sy AS VARCHAR) || '-' || lpad(CAST((sy + 1) % 100 AS VARCHAR), 2, '0') AS season,
   CASE pr WHEN '4-NOT SPECIFIED' THEN 'fa_cup' WHEN '5-LOW' THEN 'efl_cup' ELSE 'premier_league' END AS competition,
   CASE WHEN league THEN rnd END AS matchday,
   CASE WHEN league THEN CASE WHEN k % 29 = 0 THEN (rnd + 4) % 37 + 1 ELSE rnd END END AS original_matchday,
   d AS match_date,
   CASE WHEN k % 11 = 0 THEN NULL ELSE ['12:30', '15:00', '17:30', '20:00'][k % 4 + 1] END AS kickoff,
-  'Club ' || lpad(CAST(club AS VARCHAR), 9, '0') AS home_team,
-  'Club ' || lpad(CAST(rival AS VARCHAR), 9, '0') AS away_team,
+  'Club ' || lpad(CAST(club AS VARCHAR), greatest(9, length(CAST(club AS VARCHAR)))::INT, '0') AS home_team,
+  'Club ' || lpad(CAST(rival AS VARCHAR), greatest(9, length(CAST(rival AS VARCHAR)))::INT, '0') AS away_team,
   CASE WHEN done THEN CAST((k * 31 + c) % 5 AS INTEGER) END AS home_goals,
   CASE WHEN done THEN CAST((k * 17 + c * 3) % 4 AS INTEGER) END AS away_goals,
   CASE WHEN NOT done THEN NULL WHEN (k * 31 + c) % 5 > (k * 17 + c * 3) % 4 THEN 'H'
@@ -27,7 +27,7 @@ matches AS (SELECT
 """
 
 STATS = """
-match_stats AS (SELECT 'M' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS match_id,
+match_stats AS (SELECT 'M' || lpad(CAST(l_orderkey AS VARCHAR), greatest(12, length(CAST(l_orderkey AS VARCHAR)))::INT, '0') AS match_id,
   floor(sum(l_quantity) / 8) AS home_shots, CAST(count(*) * 3 AS DOUBLE) AS away_shots,
   floor(sum(l_quantity) / 16) AS home_shots_on_target, CAST(count(*) AS DOUBLE) AS away_shots_on_target
   FROM lineitem GROUP BY l_orderkey)
@@ -40,7 +40,7 @@ tl0 AS (SELECT m.*, m.competition = 'premier_league' AND m.matchday IS NOT NULL
   FROM matches m LEFT JOIN starts s ON m.competition = 'premier_league'
    AND s.pool = m.pool AND s.season = m.season AND s.matchday = m.matchday),
 tl1 AS (SELECT *, coalesce(round_start, match_date) AS block_date,
-  CASE WHEN in_block THEN CAST(round_start AS VARCHAR) || '|0|' || season || '|' || lpad(CAST(matchday AS VARCHAR), 4, '0')
+  CASE WHEN in_block THEN CAST(round_start AS VARCHAR) || '|0|' || season || '|' || lpad(CAST(matchday AS VARCHAR), greatest(4, length(CAST(matchday AS VARCHAR)))::INT, '0')
    ELSE CAST(match_date AS VARCHAR) || '|1|' || coalesce(kickoff, '') || '|' || match_id END AS block_key FROM tl0),
 tl AS (SELECT *, block_key || '|' || CAST(match_date AS VARCHAR) || '|' || coalesce(kickoff, '') || '|' || match_id AS seq_key FROM tl1)
 """
@@ -65,7 +65,7 @@ hist AS (SELECT q.pool, q.team, q.match_id, q.match_date AS today, q.is_home,
 """
 
 SPELLS = """
-spells AS (SELECT 'Club ' || lpad(CAST(o_custkey // 10 AS VARCHAR), 9, '0') AS team,
+spells AS (SELECT 'Club ' || lpad(CAST(o_custkey // 10 AS VARCHAR), greatest(9, length(CAST(o_custkey // 10 AS VARCHAR)))::INT, '0') AS team,
   'Coach ' || CAST(o_orderkey % 7 AS VARCHAR) AS manager,
   CASE WHEN o_orderkey % 10 = 0 THEN make_date(year(o_orderdate), 1, 1) ELSE CAST(o_orderdate AS DATE) END AS start_date,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE
