@@ -87,14 +87,13 @@ def match_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spells(spark: SparkSession, folder: str) -> DataFrame:
-    """Appointments: every part-shipped order puts one of seven coaches in charge of the club."""
+    """Appointments: every order puts one of seven coaches in charge of the club."""
     key = F.col("o_orderkey")
     day = F.to_date("o_orderdate")
     imprecise = key % 10 == 0
     start = F.when(imprecise, F.trunc(day, "year")).otherwise(day)
     return (
         table(spark, folder, "orders")
-        .filter(F.col("o_orderstatus") == "P")
         .select(
             club_name(F.floor(F.col("o_custkey") / 10)).alias("team"),
             F.concat(F.lit("Coach "), (key % 7).cast("string")).alias("manager"),
@@ -177,8 +176,8 @@ def model_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unavailability(spark: SparkSession, folder: str) -> DataFrame:
-    """Players out of a club's squad in a round, from the returned lines of its home orders."""
-    lines = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "R").select(
+    """Players out of a club's squad in a round, from the lines of its home orders."""
+    lines = table(spark, folder, "lineitem").select(
         F.concat(F.lit("M"), padded(F.col("l_orderkey"), 12)).alias("match_id"), "l_linenumber"
     )
     league = matches(spark, folder).filter("competition = 'premier_league'")

@@ -442,7 +442,7 @@ def rating_carry_forward(spark, d):
 
 @query("WITH " + B.SIDES + """,
 una AS (SELECT m.season, m.matchday, m.home_team AS team, count(*) AS players_out, count(*) FILTER (l_linenumber = 1) AS key_players_out
- FROM lineitem JOIN matches m ON m.match_id = 'M' || lpad(CAST(l_orderkey AS VARCHAR), greatest(12, length(CAST(l_orderkey AS VARCHAR)))::INT, '0') WHERE l_returnflag = 'R' AND competition = 'premier_league' GROUP BY ALL)
+ FROM lineitem JOIN matches m ON m.match_id = 'M' || lpad(CAST(l_orderkey AS VARCHAR), greatest(12, length(CAST(l_orderkey AS VARCHAR)))::INT, '0') WHERE competition = 'premier_league' GROUP BY ALL)
 SELECT match_id, team, CAST(players_out AS DOUBLE) AS players_out, CAST(key_players_out AS DOUBLE) AS key_players_out
 FROM sides LEFT JOIN una USING (season, matchday, team) WHERE in_block""")
 def availability_lookup(spark, d):
@@ -917,23 +917,23 @@ def tidy_spells(spark, d):
 
 
 @query("WITH " + B.SIDES + "," + B.SPELLS + """, t AS (SELECT team, match_date FROM sides WHERE competition = 'premier_league')
-SELECT count(*) AS pairs, count(*) FILTER (c) AS covered, round(avg(CAST(c AS INTEGER)), 6) AS share FROM (SELECT EXISTS (SELECT 1 FROM spells s WHERE s.team = t.team AND NOT s.year_only
+SELECT count(*) AS pairs, count(*) FILTER (c) AS covered, round(avg(CAST(c AS INTEGER)), 6) AS share FROM (SELECT EXISTS (SELECT 1 FROM spells s WHERE s.team = t.team
  AND s.start_date <= t.match_date AND (s.end_date IS NULL OR t.match_date <= s.end_date)) AS c FROM t)""")
 def spell_coverage(spark, d):
     dates = _sides(spark, d).filter("competition = 'premier_league'").select("team", "match_date")
-    return r6(I.coverage(A.spells(spark, d).filter("not year_only"), dates), "share")
+    return r6(I.coverage(A.spells(spark, d), dates), "share")
 
 
 @query("WITH RECURSIVE " + B.SPELLS + """,
-pri AS (SELECT team, manager, start_date, end_date FROM spells WHERE NOT year_only AND end_date IS NOT NULL),
-cand AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY row_no) AS rn FROM spells s WHERE year_only AND NOT EXISTS (SELECT 1 FROM pri p WHERE p.team = s.team AND p.start_date <= s.start_date AND s.start_date <= p.end_date)),
+pri AS (SELECT team, manager, start_date, end_date FROM spells WHERE NOT year_only),
+cand AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY row_no) AS rn FROM spells s WHERE year_only AND NOT EXISTS (SELECT 1 FROM pri p WHERE p.team = s.team AND p.start_date <= s.start_date AND s.start_date <= coalesce(p.end_date, DATE '9999-12-31'))),
 acc(team, rn, taken, ok) AS (SELECT team, 0::BIGINT, CAST([] AS STRUCT(s DATE, e DATE)[]), FALSE FROM cand GROUP BY team UNION ALL
  SELECT c.team, c.rn, CASE WHEN covered THEN taken ELSE list_append(taken, {'s': c.start_date, 'e': coalesce(c.end_date, DATE '9999-12-31')}) END, NOT covered FROM (
   SELECT a.taken, c.*, len(list_filter(a.taken, lambda t: t.s <= c.start_date AND c.start_date <= t.e)) > 0 AS covered FROM acc a JOIN cand c ON c.team = a.team AND c.rn = a.rn + 1) c)
 SELECT team, manager, start_date, end_date, 'primary' AS source FROM pri UNION ALL SELECT c.team, c.manager, c.start_date, c.end_date, 'manual' FROM cand c JOIN acc a ON a.team = c.team AND a.rn = c.rn AND a.ok""")
 def gap_filled_spells(spark, d):
     s = A.spells(spark, d)
-    primary = s.filter("not year_only and end_date is not null").withColumn("source", F.lit("primary"))
+    primary = s.filter("not year_only").withColumn("source", F.lit("primary"))
     return I.fill_gaps(primary, s.filter("year_only").withColumn("source", F.lit("manual")))
 
 

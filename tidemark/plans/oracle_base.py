@@ -71,7 +71,7 @@ spells AS (SELECT 'Club ' || lpad(CAST(o_custkey // 10 AS VARCHAR), greatest(9,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE
    (CASE WHEN o_orderkey % 10 = 0 THEN make_date(year(o_orderdate), 1, 1) ELSE CAST(o_orderdate AS DATE) END)
    + CAST(o_orderkey % 300 + 20 AS INTEGER) END AS end_date,
-  o_orderkey % 10 = 0 AS year_only, o_orderkey AS row_no FROM orders WHERE o_orderstatus = 'P')
+  o_orderkey % 10 = 0 AS year_only, o_orderkey AS row_no FROM orders)
 """
 
 PLAYERS = """
