@@ -616,11 +616,11 @@ cut AS (SELECT DISTINCT pool, min(match_date) AS cutoff FROM matches WHERE compe
 w AS (SELECT m.*, c.cutoff, exp(-0.0011::DOUBLE * (c.cutoff - m.match_date)) AS w FROM matches m JOIN cut c USING (pool)
  WHERE m.competition = 'premier_league' AND m.home_goals IS NOT NULL AND m.match_date < c.cutoff AND c.cutoff - m.match_date <= 1500)
 SELECT pool, cutoff, competition, home_team, away_team, round(sum(w), 6) AS w, round(sum(w * home_goals), 6) AS wh, round(sum(w * away_goals), 6) AS wa,
- round(coalesce(sum(w) FILTER (home_goals = 0 AND away_goals = 0), 0), 6) AS w00, count(*) AS n FROM w GROUP BY ALL""")
+ round(coalesce(sum(w) FILTER (home_goals = 0 AND away_goals = 0), 0), 6) AS w00, round(coalesce(sum(w) FILTER (home_goals = 1 AND away_goals = 0), 0), 6) AS w10, round(coalesce(sum(w) FILTER (home_goals = 0 AND away_goals = 1), 0), 6) AS w01, round(coalesce(sum(w) FILTER (home_goals = 1 AND away_goals = 1), 0), 6) AS w11, count(*) AS n FROM w GROUP BY ALL""")
 def goal_sums_by_cutoff(spark, d):
     m = A.matches(spark, d)
     rows = R.pair_sums(m, SC.cutoffs(m))
-    return r6(rows.drop("w10", "w01", "w11"), "w", "wh", "wa", "w00")
+    return r6(rows, "w", "wh", "wa", "w00", "w10", "w01", "w11")
 
 
 @query()
