@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import adapters as A
-from tidemark.config import RATES
+from tidemark.config import OUTCOME, RATES
 from tidemark.functions import names as N
 from tidemark.functions import scalars as S
 from tidemark.models import evaluate as E
@@ -594,20 +594,15 @@ def outcome_forecasts(spark, d):
     rows = _features(spark, d)
     train = rows.filter("match_date < date'2001-03-01' and result is not null")
     target = rows.filter("match_date >= date'2001-03-01'")
-    columns = O.usable_columns(train, target, [c for c in FT.FEATURE_COLUMNS if c in FORECAST_INPUTS])
-    model = O.OutcomeModel().fit(train, columns, rounds=10)
+    columns = O.usable_columns(train, target, FT.FEATURE_COLUMNS)
+    model = O.OutcomeModel().fit(train, columns, rounds=OUTCOME.min_rounds)
     return model.predict(target).select("match_id", "p_home", "p_draw", "p_away", "predicted_outcome", "confidence")
 
 
-# The core features and a few context ones: enough to exercise both halves.
-FORECAST_INPUTS = set(O.CORE_FEATURES) | {
-    "diff_rest_days", "diff_manager_days", "home_form6_shots_for", "away_form6_shots_for", "diff_table_position"}
-
-
 @query()
 def feature_importance(spark, d):
     rows = _features(spark, d).filter("result is not null")
-    model = O.OutcomeModel().fit(rows, sorted(FORECAST_INPUTS), rounds=5)
+    model = O.OutcomeModel().fit(rows, O.usable_columns(rows, rows.limit(0), FT.FEATURE_COLUMNS), rounds=OUTCOME.min_rounds)
     return spark.createDataFrame(model.importance(15), "feature string, importance double")
 
 
