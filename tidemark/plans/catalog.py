@@ -589,6 +589,20 @@ def early_stopping_round(spark, d):
     return O.stopping_round(losses, ["o_custkey"], 4)
 
 
+@query("WITH " + B.PREDICTIONS + """,
+mx AS (SELECT run_id, match_id, 0.6::DOUBLE * p_home + 0.4::DOUBLE * p_away AS h, 0.6::DOUBLE * p_draw + 0.4::DOUBLE * p_home AS d,
+ 0.6::DOUBLE * p_away + 0.4::DOUBLE * p_draw AS a FROM predictions),
+nm AS (SELECT run_id, match_id, h / (h + d + a) AS h, d / (h + d + a) AS d, a / (h + d + a) AS a FROM mx)
+SELECT run_id, match_id, round(h, 6) AS p_home, round(d, 6) AS p_draw, round(a, 6) AS p_away, round(greatest(h, d, a), 6) AS confidence,
+ CASE WHEN h >= d AND h >= a THEN 'H' WHEN d >= a THEN 'D' ELSE 'A' END AS predicted_outcome FROM nm""")
+def blended_outcomes(spark, d):
+    """The mix of two forecasts: the given probabilities as the boosted half, the same ones turned round as the other."""
+    p = ["p_home", "p_draw", "p_away"]
+    rows = A.predictions(spark, d).select("run_id", "match_id", *[F.col(c).alias(f"b{i}") for i, c in enumerate(p)])
+    mixed = O.blend(rows, [F.col(f"b{i}") for i in range(3)], [F.col(f"b{i}") for i in (2, 0, 1)], OUTCOME.blend_weight)
+    return r6(mixed.select("run_id", "match_id", *p, "confidence", "predicted_outcome"), *p, "confidence")
+
+
 @query()
 def outcome_forecasts(spark, d):
     rows = _features(spark, d)
@@ -1034,15 +1048,17 @@ def stream_emit_on_change(spark, d):
     return spark.read.parquet(f"{base}/table").select("event_id", "status")
 
 
-@query()
+@query(_ELO + "SELECT match_id, round(he, 6) AS home_elo, round(ae, 6) AS away_elo FROM st WHERE match_id IS NOT NULL")
 def stream_ratings(spark, d):
-    schema = A.table(spark, d, "orders").schema
-    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
-    rows = A.matches_of(orders).withColumn("event_time", F.col("match_date").cast("timestamp")).withColumn(
-        "seq_key", F.concat_ws("|", F.col("match_date").cast("string"), F.coalesce("kickoff", F.lit("")), "match_id"))
+    """The matches as a stream, a block's start as event time, then the rows that close it."""
     base = _fresh(spark, "ratings")
-    SCH.run_to_table(SRT.rating_stream(rows), f"{base}/table", f"{base}/offsets")
-    return spark.read.parquet(f"{base}/table")
+    rows = timeline(A.matches(spark, d)).select(
+        "pool", "match_id", "season", "competition", "home_team", "away_team", "home_goals", "away_goals", "seq_key",
+        F.col("block_date").cast("timestamp").alias("event_time"))
+    rows.unionByName(SRT.closing_rows(rows)).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+    SCH.run_to_table(SRT.rating_stream(stream), f"{base}/table", f"{base}/offsets")
+    return r6(spark.read.parquet(f"{base}/table").select("match_id", "home_elo", "away_elo"), "home_elo", "away_elo")
 
 
 @query("WITH " + B.PREDICTIONS + f""", kick AS (SELECT season, matchday, min({_KICK}) AS fk FROM matches m WHERE competition = 'premier_league' GROUP BY ALL)

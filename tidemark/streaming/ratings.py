@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.config import RATING, RatingSettings
@@ -19,13 +20,23 @@ OUT = "pool string, match_id string, home_elo double, away_elo double"
 STATE = "ratings string, waiting string"
 
 
+def closing_rows(matches: DataFrame, event_time: str = "event_time") -> DataFrame:
+    """A row per pool, without a match and far in the future, that releases all others. Later rows would be too late."""
+    far = F.lit("2200-01-01").cast("timestamp")
+    return matches.select("pool").distinct().select(*[
+        F.col(c) if c == "pool" else (far if c == event_time else F.lit("~") if c == "seq_key" else F.lit(None)).cast(t).alias(c)
+        for c, t in matches.dtypes])
+
+
 def rating_stream(
     matches: DataFrame, event_time: str = "event_time", delay: str = "7 days", settings: RatingSettings = RATING
 ) -> DataFrame:
     """Ratings before each match, as soon as the watermark has passed it.
 
     A pool's state is its clubs' ratings and the rows still waiting for the watermark. Rows later than
-    the watermark are dropped by Spark; a correction is a rerun of the batch fold for that pool.
+    the watermark are dropped by Spark; a correction is a rerun of the batch fold for that pool. With the start of a
+    row's block as event time the rows come in the order of the batch fold. The last rows wait until newer ones or
+    ``closing_rows`` push the watermark past them.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -45,6 +56,8 @@ def rating_stream(
         waiting = [row for row in waiting if row[0] >= watermark]
         out = []
         for _, _, match_id, season, competition, home, away, scored, conceded in ready:
+            if match_id is None:
+                continue
             before = fold.enter(home, season, competition), fold.enter(away, season, competition)
             if scored is not None and conceded is not None:
                 fold.settle(home, away, int(scored), int(conceded), competition)
