@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.session import ship
@@ -21,6 +25,21 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, after which the worker gives back what it has freed.
+
+    Spark keeps workers for later tasks; without this each would hold on to the most it ever used.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def crc_bucket(column, buckets: int):
     """crc32 of the decimal text of an id, modulo ``buckets``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % buckets

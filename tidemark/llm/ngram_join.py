@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import released, small_batches
 from tidemark.llm.graph import components
 from tidemark.llm.textvec import shingles, word_hashes
 from tidemark.session import stage
@@ -184,7 +184,7 @@ def sketch(docs: DataFrame, plan: JaccardJoin, with_sets: bool = False) -> DataF
                 [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(data, pa.binary())],
                 ["doc_id", "key", "n_shingles", "data"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, data binary")
+    return docs.mapInArrow(released(run), "doc_id long, key binary, n_shingles long, data binary")
 
 
 def in_blocks(members: DataFrame, group: list[str], blocks, keep: list[str]) -> DataFrame:
@@ -230,7 +230,7 @@ def candidate_edges(texts: DataFrame, plan: JaccardJoin) -> DataFrame:
         return {"a": [group["key"][i] for i in from_], "b": [group["key"][i] for i in label[from_]]}
 
     met = in_blocks(members, ["band", "bucket"], F.ceil(F.col("n") / plan.block), ["key", "data"])
-    return met.mapInArrow(by_group(work, ["meeting", "first", "second", "key", "data"], EDGES), "a binary, b binary")
+    return met.mapInArrow(released(by_group(work, ["meeting", "first", "second", "key", "data"], EDGES)), "a binary, b binary")
 
 
 def verified_links(grouped: DataFrame, plan: JaccardJoin) -> DataFrame:
@@ -263,7 +263,7 @@ def verified_links(grouped: DataFrame, plan: JaccardJoin) -> DataFrame:
         return {"key": [keys[i] for i in at], "to": [keys[i] for i in label[at]], "links": links[at].tolist()}
 
     met = in_blocks(grouped.join(sizes, "root"), ["root"], blocks, ["key", "data", "shingles"])
-    return met.mapInArrow(by_group(work, ["meeting", "first", "second", "key", "data", "shingles"], LINKS),
+    return met.mapInArrow(released(by_group(work, ["meeting", "first", "second", "key", "data", "shingles"], LINKS)),
                           "key binary, to binary, links long")
 
 

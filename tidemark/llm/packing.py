@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import released, small_batches
 from tidemark.llm.tokens import WordIds
 
 
@@ -159,6 +159,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), w
         if out:
             yield flush()
 
-    packed = source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+    packed = source.mapInArrow(released(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                                     "sequence_id long, offset long, ids binary")
     return packed if with_ids else packed.drop("ids")

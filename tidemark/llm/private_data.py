@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import char_tagger
 from tidemark.llm.char_tagger import PAD, Training, symbols
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import released, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]
@@ -268,7 +268,7 @@ def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+        released(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -300,4 +300,4 @@ def redact(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, kept)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

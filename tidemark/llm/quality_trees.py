@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import SPACE_RUN, SPACES, small_batches, training_rows
+from tidemark.llm.common import SPACE_RUN, SPACES, released, small_batches, training_rows
 from tidemark.llm.line_rules import let, lines_of
 
 _UPPER = "".join(chr(c) for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])
@@ -153,4 +153,4 @@ def score(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:
                 [batch.column(c) for c in kept] + [pa.array(found), pa.array((found >= threshold).astype(np.int32))],
                 [*kept, "score", "predicted"])
 
-    return stats.mapInArrow(run, stats.select(*kept).schema.add("score", "double").add("predicted", "integer"))
+    return stats.mapInArrow(released(run), stats.select(*kept).schema.add("score", "double").add("predicted", "integer"))

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import SPACES, small_batches, training_rows
+from tidemark.llm.common import SPACES, released, small_batches, training_rows
 from tidemark.llm.textvec import grams, word_hashes
 
 #: White space and ASCII punctuation part words.
@@ -78,29 +78,29 @@ def distinct_slots(texts: list[str | None], bits: int) -> list[np.ndarray]:
     return [np.unique(slots[begin[i]: begin[i + 1]]).astype(np.int32) for i in range(len(texts))]
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, plan: Ftrl = Ftrl()) -> Weights:
+def fit(slots: np.ndarray, begin: np.ndarray, labels: np.ndarray, plan: Ftrl = Ftrl()) -> Weights:
     """One weight per slot: each has its own rate, from the squares of its gradients, and is zero until the sum of its
-    gradients outweighs ``l1``. rows: the distinct slots of each text."""
-    rows = [np.append(x, np.int32(1 << plan.bits)) for x in rows]
-    z, n = np.zeros((1 << plan.bits) + 1), np.zeros((1 << plan.bits) + 1)
-    order = np.random.default_rng(plan.seed)
-    bias = 1 << plan.bits
-
-    def weights(at: np.ndarray) -> np.ndarray:
-        free = np.where(at == bias, 0.0, plan.l1)
-        w = -(z[at] - np.sign(z[at]) * free) / ((plan.beta + np.sqrt(n[at])) / plan.alpha + plan.l2)
-        return np.where(np.abs(z[at]) <= free, 0.0, w)
-
-    for _ in range(plan.passes):
-        for i in order.permutation(len(rows)):
-            at = rows[i]
-            w = weights(at)
-            gap = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
-            square = gap * gap
-            z[at] += gap - (np.sqrt(n[at] + square) - np.sqrt(n[at])) / plan.alpha * w
-            n[at] += square
-    every = np.flatnonzero(np.abs(z[:-1]) > plan.l1)
-    return Weights(every, weights(every), float(weights(np.array([bias]))[0]), plan.bits)
+    gradients outweighs ``l1``. slots: the distinct slots of all texts one after another, text i's from begin[i] on. The
+    bias is a weight without a penalty that every text has."""
+    z, n = np.zeros(1 << plan.bits), np.zeros(1 << plan.bits)
+    bias_z = bias_n = 0.0
+
+    def weight(z, n, free):
+        w = -(z - np.sign(z) * free) / ((plan.beta + np.sqrt(n)) / plan.alpha + plan.l2)
+        return np.where(np.abs(z) <= free, 0.0, w)
+
+    for turn in range(plan.passes):
+        for i in np.random.default_rng([plan.seed, turn]).permutation(len(labels)):
+            at = slots[begin[i]: begin[i + 1]]
+            w, bias = weight(z[at], n[at], plan.l1), float(weight(bias_z, bias_n, 0.0))
+            gap = float(1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - labels[i])
+            root, new = np.sqrt(n[at]), np.sqrt(n[at] + gap * gap)
+            z[at] += gap - (new - root) / plan.alpha * w
+            n[at] += gap * gap
+            bias_z += gap - (np.sqrt(bias_n + gap * gap) - np.sqrt(bias_n)) / plan.alpha * bias
+            bias_n += gap * gap
+    every = np.flatnonzero(np.abs(z) > plan.l1)
+    return Weights(every, weight(z[every], n[every], plan.l1), float(weight(bias_z, bias_n, 0.0)), plan.bits)
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, plan: Ftrl = Ftrl()) -> Weights:
@@ -114,10 +114,24 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, plan: Ftrl = Ftrl
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), pa.array(slots, pa.binary())], ["doc_id", "label", "slots"])
 
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id long, label double, slots binary")
-    found = found.orderBy("doc_id", "slots").select("label", "slots").toArrow()
-    labels = found.column("label").to_numpy()
-    return fit([np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")], labels, plan)
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, sizes, labels = [], [], []
+        for batch in batches:
+            slots = batch.column("slots").to_pylist()
+            found.append(np.frombuffer(b"".join(slots), np.int32))
+            sizes += [len(x) // 4 for x in slots]
+            labels += batch.column("label").to_pylist()
+        begin = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
+        weights = fit(np.concatenate(found) if found else np.empty(0, np.int32), begin, np.array(labels), plan)
+        yield pa.RecordBatch.from_pydict({"slots": [weights.slots.tobytes()], "values": [weights.values.tobytes()], "bias": [weights.bias]})
+
+    # One task learns from the bounded sample; only the weights come to the driver.
+    sample = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(released(run), "doc_id long, label double, slots binary")
+    ordered = sample.repartition(1).sortWithinPartitions("doc_id", "slots")
+    found = ordered.mapInArrow(released(train), "slots binary, values binary, bias double").first()
+    if found is None:
+        return Weights(np.empty(0, np.int64), np.empty(0), 0.0, plan.bits)
+    return Weights(np.frombuffer(found["slots"], np.int64), np.frombuffer(found["values"], np.float64), found["bias"], plan.bits)
 
 
 def score(docs: DataFrame, weights: Weights, threshold: float = 0.7) -> DataFrame:
@@ -137,4 +151,4 @@ def score(docs: DataFrame, weights: Weights, threshold: float = 0.7) -> DataFram
                 [*kept, "score", "predicted"])
 
     schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(released(run), schema)
