@@ -27,11 +27,12 @@ class WordIds:
     """Ids of texts, word by word.
 
     The tokenizer drops white space and no merge crosses it, so the ids of a text are those of its words one after
-    another. Each distinct word is encoded once and remembered, up to ``room`` words; then the memory starts anew.
+    another. Each distinct word is encoded once and remembered. The memory has two generations of ``room`` words: when
+    the young one is full it becomes the old one, whose words are taken over as they are met again.
     Texts in which that could fail (special-token strings, other normal forms, capital sigma) are encoded whole.
     """
 
-    def __init__(self, path: str, end: int = 1, room: int = 400_000):
+    def __init__(self, path: str, end: int = 1, room: int = 200_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -39,6 +40,7 @@ class WordIds:
         self.end = np.array([end], "<u4").tobytes()
         self.room = room
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
     def _letters_only(self, word: str) -> bytes | None:
@@ -61,7 +63,7 @@ class WordIds:
             if not head:
                 hard.append(word)
                 continue
-            ids = known.get(head) or self._letters_only(head) if head[-1].isalpha() else None
+            ids = known.get(head) or self.old.get(head) or self._letters_only(head) if head[-1].isalpha() else None
             tail = word[len(head):]
             if ids is None or (tail and tail not in known):
                 hard.append(word)
@@ -73,7 +75,7 @@ class WordIds:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, then the end id. None counts as the empty text."""
         if len(self.known) > self.room:
-            self.known = {"": b""}
+            self.known, self.old = {"": b""}, self.known
         out: list[bytes | None] = [None] * len(texts)
         split: list[tuple[int, list[str]]] = []
         for i, text in enumerate(texts):
@@ -83,6 +85,9 @@ class WordIds:
             else:
                 split.append((i, text.lower().replace("\n", " ").split(" ")))
         missing = set(chain.from_iterable(words for _, words in split)) - self.known.keys()
+        again = {w: self.old[w] for w in missing & self.old.keys()}
+        self.known.update(again)
+        missing -= again.keys()
         if missing:
             tails = {w[len(w.rstrip(_TAIL)):] for w in missing} - self.known.keys()
             self.known.update(zip(tails, self._encode(list(tails))))
