@@ -56,18 +56,22 @@ def nearest(query_ids, queries, ids, vectors, codes, agreement, search: Search)
     """(query, row, cosine) of each query's ``k`` best rows in this chunk.
 
     The estimate of a cosine is the product with the code over the code's agreement with its vector. Rows whose upper
-    bound reaches the k-th largest lower bound are compared exactly.
+    bound reaches the k-th largest lower bound are compared exactly. An id's lower bound is the largest of its rows', so
+    that repeats of one id do not stand for k neighbours.
     """
     dim = queries.shape[1]
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     width = search.slack * np.sqrt(np.maximum(0, 1 - agreement**2)) / agreement / np.sqrt(max(dim - 1, 1))
     turned = unit_rotated(queries, search.seed)
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id][:1] - 1))
     for low in range(0, len(queries), 128):
         part = slice(low, low + 128)
         about = turned[part] @ signs.T / np.sqrt(np.float32(dim)) / agreement
         own = query_ids[part, None] == ids[None, :]
         floor = np.where(own, -np.inf, about - width)
-        kth = np.partition(floor, -search.k, axis=1)[:, -search.k] if len(ids) > search.k else np.full(len(floor), -np.inf)
+        each = floor if len(starts) == len(ids) else np.maximum.reduceat(floor[:, by_id], starts, axis=1)
+        kth = np.partition(each, -search.k, axis=1)[:, -search.k] if len(starts) > search.k else np.full(len(floor), -np.inf)
         rows, cols = np.nonzero((about + width >= kth[:, None] - 1e-5) & ~own)
         for cut in range(0, len(rows), 65536):
             r, c = rows[cut: cut + 65536], cols[cut: cut + 65536]
