@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import one_bit_search
+from tidemark.llm import line_rules, one_bit_search
 
 
 def test_search_with_every_row_repeated(spark):
@@ -19,3 +19,18 @@ def test_search_with_every_row_repeated(spark):
         cos[q] = -9
         mine = [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
         assert mine == np.lexsort((np.arange(120), -cos))[:5].tolist()
+
+
+def test_line_rules_judge_each_row_without_id_alone(spark):
+    words = lambda i: " ".join(f"{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    shared = [" ".join(f"{chr(97 + i)}x{chr(97 + k)}" for k in range(20)) for i in range(6)]
+    bad = "\n".join(shared[:5])
+    rows = [(i if i < 7 else None, f"{bad}\n{shared[5]} {i}", "h") for i in range(14)]
+    rows += [(None, words(i), "h") for i in range(5)] + [(500, words(5), "h"), (500, bad, "h"), (600, bad, "g"), (600, bad, "h"), (None, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rules = line_rules.LineRules(most_docs=5)
+    got = line_rules.judge(docs, "source", rules)
+    assert got.columns[0] == "doc_id" and not {"text_key", "no_host", "host"} & set(got.columns)
+    kept = line_rules.clean(docs, "source", rules).collect()
+    assert sorted(r.text for r in kept) == sorted([*[words(i) for i in range(6)], bad])
+    assert got.filter("kept").count() == 7 and got.count() == len(rows)

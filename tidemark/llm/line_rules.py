@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -64,11 +65,26 @@ def repeated_words(words: Column) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(places(h))).cast("long")
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every document's whole text (null text: no words)."""
+#: What tells documents apart: rows are one document only if their id, text and host are the same.
+DOCUMENT = ["doc_id", "text_key", "no_host", "host"]
+
+
+def document_key(host: str) -> list[Column]:
+    """The columns of ``DOCUMENT``. All but doc_id are never null."""
+    return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"),
+            F.col(host).isNull().alias("no_host"), F.xxhash64(F.col(host).cast("string")).alias("host")]
+
+
+def of_document(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with ``other`` by the document's key, which ``rows`` keep under ``_doc_id`` and so on."""
+    return rows.join(other, functools.reduce(Column.__and__, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in DOCUMENT]), how)
+
+
+def text_counts(docs: DataFrame, host: str) -> DataFrame:
+    """The document's key (``_doc_id`` and so on) and the counts of its whole text (null text: no words), of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id"), text.alias("_text"), words_of(text).alias("_words")).select(
-        "doc_id",
+    return docs.select(*document_key(host), text.alias("_text"), words_of(text).alias("_words")).select(
+        *[F.col(c).alias(f"_{c}") for c in DOCUMENT],
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -80,44 +96,41 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def line_frequency(docs: DataFrame, host: str, rules: LineRules) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, host, line hash, characters) of each document's distinct lines, and the boilerplate (host, line hash)."""
+    """(document's key, line hash, characters) of each row's distinct lines, and the boilerplate (host, line hash)."""
     lines = F.transform(lines_of(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda x: let(
         normal_line(x), lambda n: F.struct(F.xxhash64(n).alias("line"), F.length(n).alias("chars"))))
-    rows = docs.select(
-        F.col("doc_id"), F.col(host).isNull().alias("no_host"), F.xxhash64(F.col(host).cast("string")).alias("host"),
-        F.explode(F.array_distinct(lines)).alias("x"),
-    ).select("doc_id", "no_host", "host", "x.*")
+    rows = docs.select(*document_key(host), F.explode(F.array_distinct(lines)).alias("x")).select(*DOCUMENT, "x.*")
     many = rows.groupBy("no_host", "host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > rules.most_docs)
     return rows, many.drop("n")
 
 
 def lost_chars(docs: DataFrame, host: str, rules: LineRules) -> DataFrame:
-    """doc_id and the characters of its distinct lines that are boilerplate; no row where there are none.
+    """A document's key and the characters of its distinct lines that are boilerplate; no row where there are none.
 
     Repeated rows of a document bring each line as often as the document: the ratio of lines to rows undoes that.
     """
     rows, many = line_frequency(docs, host, rules)
     once = F.size(F.collect_set("line")) / F.count("*")
-    return rows.join(many, ["no_host", "host", "line"]).groupBy("doc_id").agg((F.sum("chars") * once).alias("lost"))
+    return rows.join(many, ["no_host", "host", "line"]).groupBy(*DOCUMENT).agg((F.sum("chars") * once).alias("lost"))
 
 
 def judge(docs: DataFrame, host: str = "source", rules: LineRules = LineRules()) -> DataFrame:
     """Counts and verdict of every document.
 
     docs: doc_id, text and the host column; others are not read. Every row is a document: a repeated row counts anew
-    in the line frequencies, and rows of one doc_id share one verdict on lost lines. A null text has no words and
-    fails; null hosts are one host; null ids are one id. Only hashes and lengths of lines are shuffled, summed before.
+    in the line frequencies. Each row's verdict is on its own text and host, whatever other rows have its id or none. A
+    null text has no words and fails; null hosts are one host. Only hashes and lengths of lines are shuffled, summed before.
     """
-    counts = text_counts(docs)
-    lost = lost_chars(docs, host, rules)
+    return _judged(docs, host, rules).drop(*[f"_{c}" for c in DOCUMENT[1:]]).withColumnRenamed("_doc_id", "doc_id")
+
+
+def _judged(docs: DataFrame, host: str, rules: LineRules) -> DataFrame:
+    """``judge`` with the document's key in place of doc_id."""
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
-    return (
-        counts.join(lost, counts["doc_id"].eqNullSafe(lost["doc_id"]), "left")
-        .select(
-            counts["doc_id"], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            failed.alias("base_failed"),
-            (~failed & (F.coalesce(F.col("lost"), F.lit(0.0)) <= rules.most_lost * F.col("line_chars"))).alias("kept"),
-        )
+    return of_document(text_counts(docs, host), lost_chars(docs, host, rules), "left").select(
+        *[f"_{c}" for c in DOCUMENT], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"),
+        (~failed & (F.coalesce(F.col("lost"), F.lit(0.0)) <= rules.most_lost * F.col("line_chars"))).alias("kept"),
     )
 
 
@@ -127,10 +140,10 @@ def clean(docs: DataFrame, host: str = "source", rules: LineRules = LineRules())
     The boilerplate hashes of one document are gathered in its row; they are at most as many as its own lines.
     """
     rows, many = line_frequency(docs, host, rules)
-    gone = rows.join(many, ["no_host", "host", "line"]).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    kept = judge(docs, host, rules).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    gone = gone.select(F.col("doc_id").alias("_id"), "_gone")
-    lines = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_gone", F.xxhash64(normal_line(x))), F.lit(False)))
-    return out.join(gone, out["doc_id"].eqNullSafe(F.col("_id")), "left").select(
-        *[F.array_join(lines, "\n").alias(c) if c == "text" else out[c] for c in docs.columns])
+    gone = rows.join(many, ["no_host", "host", "line"]).groupBy(*DOCUMENT).agg(F.collect_set("line").alias("_gone"))
+    kept = _judged(docs, host, rules).filter("kept").select(*[F.col(f"_{c}").alias(c) for c in DOCUMENT]).distinct()
+    given = docs.select(F.struct(*docs.columns).alias("_given"), *[k.alias(f"_{c}") for c, k in zip(DOCUMENT, document_key(host))])
+    text = F.col("_given")["text"]
+    lines = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("_gone", F.xxhash64(normal_line(x))), F.lit(False)))
+    return of_document(of_document(given, kept, "left_semi"), gone, "left").select(
+        *[F.array_join(lines, "\n").alias(c) if c == "text" else F.col("_given")[c].alias(c) for c in docs.columns])
