@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_rules, one_bit_search
+from tidemark.llm import line_rules, ngram_join, one_bit_search
 
 
 def test_search_with_every_row_repeated(spark):
@@ -34,3 +34,23 @@ def test_line_rules_judge_each_row_without_id_alone(spark):
     kept = line_rules.clean(docs, "source", rules).collect()
     assert sorted(r.text for r in kept) == sorted([*[words(i) for i in range(6)], bad])
     assert got.filter("kept").count() == 7 and got.count() == len(rows)
+
+
+def test_one_of_each_judges_rows_without_id_by_their_text(spark):
+    base = [" ".join(f"{chr(97 + g)}{k}" for k in range(60)) for g in range(6)]
+    rows = [(10, base[0]), (11, base[0] + " end"), (None, base[0]), (None, base[0] + " other")]
+    rows += [(None, base[1]), (None, base[1]), (None, base[1] + " near"), (None, base[1] + " nearer"), (None, base[2])]
+    rows += [(None, None), (None, None), (None, ""), (None, " \n"), (20, None), (20, None), (21, "")]
+    rows += [(3, base[3]), (5, base[3] + " late"), (5, base[4]), (5, base[4]), (4, base[5]), (4, base[5] + " too")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    near = [t for i, t in got if t and t.startswith(base[1])]
+    assert len(near) == 1 and (None, near[0]) in got
+    four = [t for i, t in got if i == 4]
+    assert len(four) == 1 and four[0] in (base[5], base[5] + " too")
+    rest = [x for x in got if x[1] not in near + four]
+    assert sorted(rest, key=str) == sorted(
+        [(10, base[0]), (None, base[2]), (None, None), (None, None), (None, ""), (None, " \n"), (20, None), (21, ""), (3, base[3]),
+         (5, base[4])], key=str)

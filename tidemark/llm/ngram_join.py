@@ -9,9 +9,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import released, small_batches
+from tidemark.llm.common import SPACES, released, small_batches
 from tidemark.llm.graph import components
 from tidemark.llm.textvec import shingles, word_hashes
 from tidemark.session import stage
@@ -172,7 +172,7 @@ LINKS = pa.schema([("key", pa.binary()), ("to", pa.binary()), ("links", pa.int64
 
 
 def sketch(docs: DataFrame, plan: JaccardJoin, with_sets: bool = False) -> DataFrame:
-    """doc_id, key (a digest of the shingle set; null without words), n_shingles, and the signature or the set itself."""
+    """doc_id, row, key (a digest of the shingle set; null without words), n_shingles, and the signature or the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,10 +181,17 @@ def sketch(docs: DataFrame, plan: JaccardJoin, with_sets: bool = False) -> DataF
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             data = [s.tobytes() for s in sets] if with_sets else [s.tobytes() for s in signatures(found, begin, plan)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(data, pa.binary())],
-                ["doc_id", "key", "n_shingles", "data"])
+                [batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int64()),
+                 pa.array(data, pa.binary())],
+                ["doc_id", "row", "key", "n_shingles", "data"])
 
-    return docs.mapInArrow(released(run), "doc_id long, key binary, n_shingles long, data binary")
+    return docs.mapInArrow(released(run), "doc_id long, row binary, key binary, n_shingles long, data binary")
+
+
+def row_digest() -> Column:
+    """A digest of id and text: equal for rows that repeat both, never null."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("/"),
+                                  F.coalesce(F.col("text").cast("string"), F.lit("")))))
 
 
 def in_blocks(members: DataFrame, group: list[str], blocks, keep: list[str]) -> DataFrame:
@@ -267,38 +274,49 @@ def verified_links(grouped: DataFrame, plan: JaccardJoin) -> DataFrame:
                           "key binary, to binary, links long")
 
 
-def join(docs: DataFrame, plan: JaccardJoin = JaccardJoin()) -> DataFrame:
-    """Class and links of every document: doc_id, class_id, copy_id, n_links.
+def _classes(docs: DataFrame, plan: JaccardJoin) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows, the different texts with words (key, copy_id and first, their first row), and class_id,
+    n_links and class_first (the class's first row) of those that link.
 
-    docs: doc_id, text; other columns are not read. Words are runs of other characters than ASCII white space, shingles
-    are ``words`` of them in a row; a shorter text with words has one shingle, all of it. Documents with equal shingle
-    sets are copies and share copy_id, their least doc_id. n_links counts the different sets with a Jaccard similarity
-    of ``threshold`` or more; class_id is the least doc_id of all that links and copies connect. Null, empty and blank
-    texts have no shingles: each is a class of its own, without links. Repeated rows are copies; null ids are never the
-    least, and name a class only if all its ids are null.
+    The first row is that with the least id or, where none has one, the least digest.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                         row_digest().alias("row"))
     small_batches(spark, 512)
     sketched = stage(sketch(source, plan), "sketches")
     texts = stage(
         sketched.filter(F.col("key").isNotNull()).groupBy("key").agg(
-            F.min("doc_id").alias("copy_id"), F.max("data").alias("data"), F.max("n_shingles").alias("n_shingles")),
+            F.min("doc_id").alias("copy_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"),
+            F.max("data").alias("data"), F.max("n_shingles").alias("n_shingles")),
         "texts")
     near = stage(components(candidate_edges(texts, plan)), "near")
     grouped = near.select(F.col("node").alias("key"), "root").join(texts, "key")
-    ids = stage(grouped.select(F.col("copy_id").alias("doc_id")).distinct(), "ids")
-    chosen = source.join(ids, source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    firsts = stage(grouped.select("first.row"), "firsts")
+    chosen = source.join(firsts, "row", "left_semi")
     sets = sketch(chosen, plan, with_sets=True).select("key", F.col("data").alias("shingles"))
-    grouped = stage(grouped.join(sets, "key").dropDuplicates(["key"]), "grouped")
+    grouped = stage(grouped.drop("first").join(sets, "key").dropDuplicates(["key"]), "grouped")
     small_batches(spark, 64)
     links = stage(verified_links(grouped, plan), "links")
     small_batches(spark, 512)
     classes = components(links.select(F.col("key").alias("a"), F.col("to").alias("b")))
     counts = links.groupBy("key").agg(F.sum("links").alias("n_links"))
-    named = classes.select(F.col("node").alias("key"), "root").join(texts.select("key", "copy_id"), "key")
-    least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    found = named.join(least, "root").join(counts, "key").select("key", "class_id", "n_links")
+    named = classes.select(F.col("node").alias("key"), "root").join(texts.select("key", "copy_id", "first"), "key")
+    least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min("first").alias("class_first"))
+    return sketched, texts, named.join(least, "root").join(counts, "key").select("key", "class_id", "class_first", "n_links")
+
+
+def join(docs: DataFrame, plan: JaccardJoin = JaccardJoin()) -> DataFrame:
+    """Class and links of every document: doc_id, class_id, copy_id, n_links.
+
+    docs: doc_id, text; other columns are not read. Words are runs of other characters than ASCII white space, shingles
+    are ``words`` of them in a row; a shorter text with words has one shingle, all of it. Documents with equal shingle
+    sets are copies and share copy_id, their least doc_id. n_links counts the different sets with a Jaccard similarity
+    of ``threshold`` or more; class_id is the least doc_id of all that links and copies connect. Null, empty and blank
+    texts have no shingles: each is a class of its own, without links. Repeated rows are copies; null ids are never the
+    least, and name a class only if all its ids are null.
+    """
+    sketched, texts, found = _classes(docs, plan)
     every = texts.select("key", "copy_id").join(found, "key", "left")
     return sketched.select("doc_id", "key").join(every, "key", "left").select(
         "doc_id",
@@ -308,11 +326,23 @@ def join(docs: DataFrame, plan: JaccardJoin = JaccardJoin()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, plan: JaccardJoin = JaccardJoin()) -> DataFrame:
-    """Documents with all their columns, of each class only that with the least doc_id.
+    """Documents with all their columns, of each class one row: one with the least doc_id or, where no row has an id, one
+    of the rows without.
 
-    Documents without words are all kept. Rows that repeat an id are copies: one of them stays. A document without an id
-    stays if its text is in no class with ids.
+    A row is told by its id and its text together, so other rows of the same id, or without an id, are judged by their own
+    text. Documents without words are all kept; rows that repeat an id and a text are copies, but without words and id
+    each row is a document.
     """
-    keep = join(docs, plan).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    _, texts, found = _classes(docs, plan)
+    first = F.coalesce(F.col("class_first"), F.col("first"))["row"]
+    keep = stage(texts.select("key", "first").join(found, "key", "left").select(first.alias("_row")).distinct(), "kept")
+    text = F.col("text").cast("string")
+    blank = F.coalesce(F.length(F.translate(text, SPACES, "")) == 0, F.lit(True))
+    # Repeated rows are folded before they meet, within each task first; an inner join stays behind that, a semi join would not.
+    once = docs.filter(~blank).withColumn("_row", row_digest()).dropDuplicates(["_row"])
+    wordless = docs.filter(blank)
+    return (
+        once.join(keep, "_row").select(*docs.columns)
+        .unionByName(wordless.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]))
+        .unionByName(wordless.filter(F.col("doc_id").isNull()))
+    )
