@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_rules, ngram_join, one_bit_search
+from tidemark.llm import common, line_rules, ngram_join, one_bit_search, private_data
 
 
 def test_search_with_every_row_repeated(spark):
@@ -54,3 +54,21 @@ def test_one_of_each_judges_rows_without_id_by_their_text(spark):
     assert sorted(rest, key=str) == sorted(
         [(10, base[0]), (None, base[2]), (None, None), (None, None), (None, ""), (None, " \n"), (20, None), (21, ""), (3, base[3]),
          (5, base[4])], key=str)
+
+
+def test_training_samples_hold_one_row_of_each_id(spark):
+    rows = [(1, f"text {k}") for k in range(50)] + [(i, f"doc {i}") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, toxic int")
+    got = common.training_rows(docs, labels, "toxic", F.lit(True), 20).collect()
+    assert sorted((r.doc_id, r.label) for r in got) == [(i, float(i % 2)) for i in range(1, 12)]
+    assert len(common.training_rows(docs, labels, "toxic", F.lit(True), 4).collect()) == 4
+
+
+def test_training_windows_come_from_all_sampled_documents(spark):
+    long = " ".join(f"number {k} " + "word " * 30 for k in range(400))
+    rows = [(1, long), (1, long + " 7"), *[(i, f"call {i} now") for i in range(2, 202)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = private_data.training_windows(docs, private_data.Finder(windows=300)).collect()
+    of_long = sum(r.doc_id == 1 for r in got)
+    assert len(got) == 300 and 0 < of_long < 290 and len({(r.doc_id, r.place) for r in got}) == 300

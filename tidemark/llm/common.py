@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.session import ship
+from tidemark.session import ship, stage
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -45,8 +45,13 @@ def crc_bucket(column, buckets: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % buckets
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """doc_id and of its texts the one with the least hash. Rows of an id are combined before the shuffle."""
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int) -> DataFrame:
-    """text and label of at most ``most`` labelled documents.
+    """doc_id, text and label of at most ``most`` labelled documents, one row each, however often an id is repeated.
 
     The choice is made on the narrow label table, by hash; it is bounded, so sending it to the documents' tasks is too.
     """
@@ -55,4 +60,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Colum
         .groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    return docs.join(F.broadcast(chosen), "doc_id")
+    chosen = F.broadcast(stage(chosen, "chosen"))
+    return one_per_id(docs.join(chosen, "doc_id", "left_semi")).join(chosen, "doc_id")

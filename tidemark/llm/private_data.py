@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import char_tagger
 from tidemark.llm.char_tagger import PAD, Training, symbols
-from tidemark.llm.common import released, small_batches
+from tidemark.llm.common import one_per_id, released, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]
@@ -29,7 +30,8 @@ _TRIGGER = re.compile(r"[0-9@]")
 @dataclass(frozen=True)
 class Finder:
     """``rows``: at most so many documents are learned from, those with the smallest hash of their id among those that
-    hold a digit or an at sign. Windows reach ``context`` characters beyond such a character and start ``stride`` apart."""
+    hold a digit or an at sign, with one text each, and from at most ``windows`` windows of them all, those with the
+    smallest hash. Windows reach ``context`` characters beyond such a character and start ``stride`` apart."""
 
     rows: int = 3000
     windows: int = 12000
@@ -190,26 +192,31 @@ def _fits(text: str, span: Span) -> bool:
     return 8 <= digits <= 15 and all(c in "0123456789 ().-+" for c in body)
 
 
-def labelled_windows(texts: list[str], finder: Finder) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and tags (0, or 2 kind + 1 at a span's first character and 2 kind + 2 after it) of training windows.
+def windows_with_tags(text: str, finder: Finder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and tags (0, or 2 kind + 1 at a span's first character and 2 kind + 2 after it) of a text's training windows.
 
     Windows that touch a match of doubtful standing, shaped like its kind but failing its check, teach nothing.
     """
-    ids, tags = [], []
-    for text in texts:
-        base, unsure = base_spans(text)
-        tag = np.zeros(len(text), np.int64)
-        for kind, s, e in base:
-            tag[s:e] = 2 * kind + 2
-            tag[s] = 2 * kind + 1
-        for s, e in windows_of(text, finder):
-            if not any(a < e and s < b for _, a, b in unsure if not tag[a:b].any()):
-                ids.append(_filled(symbols(text[s:e]), [(0, e - s)], finder.training.width)[0])
-                tags.append(np.pad(tag[s:e], (0, finder.training.width - (e - s))))
-            if len(ids) >= finder.windows:
-                break
     width = finder.training.width
-    ids, tags = np.array(ids[: finder.windows], np.int64).reshape(-1, width), np.array(tags[: finder.windows], np.int64).reshape(-1, width)
+    base, unsure = base_spans(text)
+    tag = np.zeros(len(text), np.int64)
+    for kind, s, e in base:
+        tag[s:e] = 2 * kind + 2
+        tag[s] = 2 * kind + 1
+    unsure = [(a, b) for _, a, b in unsure if not tag[a:b].any()]
+    for s, e in windows_of(text, finder):
+        if not any(a < e and s < b for a, b in unsure):
+            yield _filled(symbols(text[s:e]), [(0, e - s)], width)[0], np.pad(tag[s:e], (0, width - (e - s)))
+
+
+def labelled_windows(texts: list[str], finder: Finder) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and tags of the first ``windows`` training windows of the texts, and those side by side."""
+    return _taught(list(itertools.islice((x for text in texts for x in windows_with_tags(text, finder)), finder.windows)), finder)
+
+
+def _taught(found: list[tuple[np.ndarray, np.ndarray]], finder: Finder) -> tuple[np.ndarray, np.ndarray]:
+    width = finder.training.width
+    ids, tags = (np.array([x[k] for x in found], np.int64).reshape(-1, width) for k in (0, 1))
     more = side_by_side(ids, tags)
     return np.concatenate((ids, more[0])), np.concatenate((tags, more[1]))
 
@@ -233,13 +240,35 @@ def side_by_side(ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndar
     return new[:, 0], new[:, 1]
 
 
-def learn(docs: DataFrame, finder: Finder = Finder()) -> Tagger:
-    """A tagger taught by the exact patterns' spans in a bounded sample of documents."""
+def training_windows(docs: DataFrame, finder: Finder) -> DataFrame:
+    """doc_id, place, ids and tags of at most ``windows`` windows, those with the least hash over all sampled documents.
+
+    The sample has one text of each of its ids. Windows are cut in the tasks, so no whole text comes to the driver.
+    """
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text")).filter(text.rlike("[0-9@]"))
     chosen = rows.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(finder.rows)
-    sample = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(finder.rows)
-    ids, tags = labelled_windows([r["text"] for r in sample.select("text").collect()], finder)
+    sample = one_per_id(rows.join(F.broadcast(chosen), "doc_id", "left_semi")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                windows = enumerate(windows_with_tags(text, finder))
+                while part := list(itertools.islice(windows, finder.at_once)):
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": pa.array([doc_id] * len(part), pa.int64()), "place": pa.array([k for k, _ in part], pa.int64()),
+                        "ids": pa.array([x.tobytes() for _, (x, _) in part], pa.binary()),
+                        "tags": pa.array([x.tobytes() for _, (_, x) in part], pa.binary())})
+
+    small_batches(docs.sparkSession)
+    found = sample.mapInArrow(released(run), "doc_id long, place long, ids binary, tags binary")
+    return found.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(finder.windows)
+
+
+def learn(docs: DataFrame, finder: Finder = Finder()) -> Tagger:
+    """A tagger taught by the exact patterns' spans in a bounded sample of windows of documents."""
+    found = training_windows(docs, finder).orderBy(F.xxhash64("doc_id"), "doc_id", "place").select("ids", "tags").collect()
+    ids, tags = _taught([(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["tags"], np.int64)) for r in found], finder)
     return Tagger(char_tagger.fit(ids, tags, 2 * len(KINDS) + 1, finder.training), finder)
 
 
