@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, line_rules, ngram_join, one_bit_search, private_data
+from tidemark.llm import common, line_rules, main_text, ngram_join, one_bit_search, private_data
 
 
 def test_search_with_every_row_repeated(spark):
@@ -72,3 +72,19 @@ def test_training_windows_come_from_all_sampled_documents(spark):
     got = private_data.training_windows(docs, private_data.Finder(windows=300)).collect()
     of_long = sum(r.doc_id == 1 for r in got)
     assert len(got) == 300 and 0 < of_long < 290 and len({(r.doc_id, r.place) for r in got}) == 300
+
+
+def test_main_text_keeps_articles_inside_marked_wrappers():
+    article = "<h1>Head</h1>" + "".join(f"<p>Words of part {k}, with commas, and more of them, again and again.</p>" for k in range(5))
+    for wrapper in ("div class='content no-sidebar'", "div class=has-sidebar", "div id=with-sidebar", "div class=search-results",
+                    "div class=social-science", "form id=aspnet"):
+        page = f"<body><{wrapper}>{article}<div class=sidebar>Side, words</div></{wrapper.split()[0]}><div class=share>Share</div></body>"
+        assert main_text.main_text(page).count("Words of part") == 5 and "Side" not in main_text.main_text(page), wrapper
+    assert main_text.main_text("<form><p>All of it</p></form>") == "All of it"
+
+
+def test_main_text_keeps_short_siblings():
+    block = "<div><p>" + "Long, words, with, many, commas, in, one, block. " * 20 + "</p></div>"
+    short = "<p>Short.</p><ul><li>Item</li></ul><table><tr><td>Cell</td></tr></table><pre>Code</pre><h4>Minor</h4><div>Leaf</div>"
+    got = main_text.main_text(f"<body>{short}{block}<div><a href=1>Link one, link two</a></div></body>")
+    assert all(x in got for x in ("Short.", "Item", "Cell", "Code", "Minor", "Leaf")) and "Link" not in got

@@ -23,7 +23,7 @@ _INLINE = frozenset(
     "strong sub sup time tt u var wbr".split())
 #: Elements that are never part of an article's text.
 _OUTSIDE = frozenset(
-    "head script style noscript template textarea nav header footer aside form iframe object svg math canvas select button "
+    "head script style noscript template textarea nav header footer aside iframe object svg math canvas select button "
     "menu dialog audio video map fieldset input".split())
 #: Words of a class, id or role that mark such parts, whole or as the start of a longer word.
 _OUTSIDE_WORDS = frozenset(
@@ -32,6 +32,8 @@ _OUTSIDE_WORDS = frozenset(
     "navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments commentlist disqus reply replies respond "
     "share sharing social related recommended recommendations widget widgets search contentinfo complementary dialog form".split())
 _WORD = re.compile(r"[a-z]+")
+#: A word behind one of these in a compound says what a part has or lacks, not what it is.
+_ABOUT = frozenset("no not has have with without".split())
 _KEPT = frozenset(("html", "body", "article", "main"))
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -42,12 +44,31 @@ _TAG_POINTS = {"article": 25.0, "main": 15.0}
 
 
 class Page:
-    """The block tree of one page. Node 0 is the page itself."""
+    """The block tree of one page. Node 0 is the page itself.
 
-    def __init__(self, source: str):
-        self.tag, self.parent, self.outside = ["#page"], [0], [False]
+    With ``markers``, forms and elements marked by class, id or role are left out, but for those that hold the main or first
+    heading and over half of the page's text: they are wrappers of the article.
+    """
+
+    def __init__(self, source: str, markers: bool = True):
+        self.tag, self.parent, self.outside, self.marked = ["#page"], [0], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._read(source)
+        if markers:
+            self._leave_out()
+
+    def _leave_out(self) -> None:
+        count = len(self.tag)
+        chars, heads = [0] * count, [tag in ("h1", "main") and not out for tag, out in zip(self.tag, self.outside)]
+        for node, text, _ in self.blocks:
+            chars[node] += len(text)
+        for n in range(count - 1, 0, -1):
+            chars[self.parent[n]] += chars[n]
+            heads[self.parent[n]] |= heads[n]
+        for n in range(1, count):
+            wraps = heads[n] and 2 * chars[n] > chars[0]
+            self.outside[n] = self.outside[n] or self.outside[self.parent[n]] or (self.marked[n] and not wraps)
+        self.blocks = [x for x in self.blocks if not self.outside[x[0]]]
 
     def _flush(self, node: int, pieces: list[str], linked: int) -> None:
         if pieces and not self.outside[node]:
@@ -119,11 +140,13 @@ class Page:
         parent = open_[-1]
         self.tag.append(name)
         self.parent.append(parent)
-        self.outside.append(self.outside[parent] or name in _OUTSIDE or (bool(rest) and name not in _KEPT and _marked(rest)))
+        named = bool(rest) and name not in _KEPT
+        self.outside.append(self.outside[parent] or name in _OUTSIDE or (named and _HIDDEN.search(rest) is not None))
+        self.marked.append(name == "form" or (named and _marked(rest)))
         open_.append(len(self.tag) - 1)
 
     def main_text(self) -> list[str]:
-        """The blocks of the best container and its good siblings, in page order.
+        """The blocks of the best container and its siblings, but those of links, in page order.
 
         A block gives 1 point, 1 for each comma and up to 3 for its length, less its share of link text: whole to its
         container, half to the next ancestor, a third to the one after, and so on.
@@ -163,8 +186,7 @@ class Page:
             for n in range(1, count):
                 if n != best and self.parent[n] == self.parent[best] and not self.outside[n] and chars[n]:
                     density = linked[n] / chars[n]
-                    if score[n] >= max(10.0, 0.2 * score[best]) or self.tag[n] == self.tag[best] == "p" or (
-                            self.tag[n] == "p" and chars[n] > 80 and density < 0.25) or (self.tag[n] in ("h1", "h2", "h3") and density < 0.25):
+                    if score[n] >= max(10.0, 0.2 * score[best]) or self.tag[n] == self.tag[best] == "p" or density < 0.25:
                         keep.add(n)
         inside = [n in keep for n in range(count)]
         for n in range(1, count):
@@ -176,18 +198,20 @@ class Page:
 
 
 def _marked(rest: str) -> bool:
-    if _HIDDEN.search(rest):
-        return True
     for _, value in _NAMES.findall(rest):
-        for word in _WORD.findall(value.lower()):
-            if word in _OUTSIDE_WORDS:
+        for name in value.lower().split():
+            words = _WORD.findall(name)
+            if any(w in _OUTSIDE_WORDS and (not i or words[i - 1] not in _ABOUT) for i, w in enumerate(words)):
                 return True
     return False
 
 
 def main_text(source: str | None) -> str:
-    """The main text of one page; a page without text gives the empty string."""
-    return "\n\n".join(Page(source).main_text()) if source else ""
+    """The main text of one page; a page without text gives the empty string.
+
+    A page of which markers and forms leave nothing is read again without regard to them.
+    """
+    return "\n\n".join(Page(source).main_text() or Page(source, markers=False).main_text()) if source else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
