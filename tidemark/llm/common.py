@@ -62,3 +62,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Colum
     )
     chosen = F.broadcast(stage(chosen, "chosen"))
     return one_per_id(docs.join(chosen, "doc_id", "left_semi")).join(chosen, "doc_id")
+
+
+def join_by_size(rows: DataFrame, sizes: DataFrame, on: list[str], count: str, share: int = 1000) -> DataFrame:
+    """Inner join of rows with one row per key, in which ``count`` tells how many rows have that key.
+
+    Keys that more than one in ``share`` of the rows have are at most ``share``: these are broadcast, so that their rows
+    stay where they are. All other keys are shuffled, none of which is large. Both tables are read twice; give staged ones.
+    """
+    total = sizes.agg(F.sum(count)).first()[0] or 0
+    hot, cold = sizes.filter(F.col(count) * share > total), sizes.filter(F.col(count) * share <= total)
+    by_key = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return by_key.unionByName(rest)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import line_rules, main_text, mixing, ngram_join, one_bit_search, private_data, quality_trees, toxicity, warc
+from tidemark.llm import (
+    filter_audit, line_rules, main_text, mixing, multi_index, ngram_join, one_bit_search, periodic_runs, private_data,
+    quality_trees, toxicity, warc)
 from tidemark.llm.common import crc_bucket, table
 from tidemark.llm.packing import pack_documents
 
@@ -68,6 +72,41 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Which word stands at each place of a document: in one of ten, by hash, words recur from a place on. Not without an id."""
+    key = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or key % 10 or not n:
+        return None
+    at = (key // 10) % n
+    period = 1 + (n - at) // (3 + key // 10 % 8)
+    places = np.arange(n)
+    places[at:] = at + (places[at:] - at) % period
+    return places
+
+
+def _text_digest(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(table(spark, sf_dir, "documents"), order=planted_order)
+    lines = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    longest = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        _text_digest(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))).alias("runs_sha256"),
+        _text_digest(F.col("text")).alias("collapsed_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.links(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_vector_packing": op2_vector_packing,
@@ -79,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_private_data": op9_private_data,
     "op10_line_rules": op10_line_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_multi_index": op13_multi_index,
 }
 
 _MIX = r"""
@@ -145,7 +187,51 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(lost, 0) <= 0.5 * coalesce(chars, 0) as kept
 from counts left join lost using (doc_id)"""
 
+_AUDIT = r"""
+with facts as (
+  select d.doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, coalesce(quality = 1, false) as good,
+    coalesce(toxic = 1, false) as toxic, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents d left join (
+    select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id) l on d.doc_id = l.doc_id),
+firsts as (select text, min(doc_id) as least from facts group by text),
+fails as (
+  select part, good, toxic,
+    (len(w) < 100)::int
+    + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int
+    + 4 * (100 * (len(text) - len(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * len(text))::int
+    + 8 * regexp_matches(text, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > least, false)::int as mask
+  from facts join firsts using (text)),
+counts as (
+  select part, mask, count(*)::bigint as n, (count(*) filter (good))::bigint as good, (count(*) filter (toxic))::bigint as toxic
+  from fails group by part, mask),
+letters as (select unnest([0, 1, 2, 3, 4]) as f, unnest(['A', 'B', 'C', 'D', 'E']) as letter),
+orders as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.f, b.f, c.f, d.f, e.f] as fs
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+ranks as (
+  select part, filter_order, fs, mask, n, good, toxic,
+    coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda s: (mask >> fs[s]) & 1 = 1)), 6) as step
+  from counts, orders),
+steps as (
+  select part, filter_order, s.step, fs[s.step] as f, mask, n, good, toxic, ranks.step as gone
+  from ranks, (select unnest([1, 2, 3, 4, 5])::int as step) s),
+table_ as (
+  select part, filter_order, step, f,
+    coalesce(sum(n) filter (gone > step), 0)::bigint as kept,
+    coalesce(sum(n) filter (gone = step), 0)::bigint as removed,
+    coalesce(sum(n) filter ((mask >> f) & 1 = 1 and gone < step), 0)::bigint as redundant,
+    coalesce(sum(n) filter (mask = 1 << f), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (gone = step), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (gone = step), 0)::bigint as toxic_lost
+  from steps group by part, filter_order, step, f)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, f))::bigint as shapley
+from table_"""
+
 ORACLES: dict[str, str] = {
     "op3_mixing_sources": _MIX,
     "op10_line_rules": _LINES,
+    "op12_filter_audit": _AUDIT,
 }
