@@ -1,9 +1,11 @@
 """Repeated ids, missing ids and skewed ids."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, line_rules, main_text, ngram_join, one_bit_search, private_data
+from tidemark.llm import common, line_rules, main_text, mixing, ngram_join, one_bit_search, private_data
 
 
 def test_search_with_every_row_repeated(spark):
@@ -88,3 +90,47 @@ def test_main_text_keeps_short_siblings():
     short = "<p>Short.</p><ul><li>Item</li></ul><table><tr><td>Cell</td></tr></table><pre>Code</pre><h4>Minor</h4><div>Leaf</div>"
     got = main_text.main_text(f"<body>{short}{block}<div><a href=1>Link one, link two</a></div></body>")
     assert all(x in got for x in ("Short.", "Item", "Cell", "Code", "Minor", "Leaf")) and "Link" not in got
+
+
+def test_page_reader_is_linear():
+    story = "A long story, with many words, that goes on and on, and is told in full. " * 4
+    for page in ("<a " * 350_000, '<a href="' * 110_000, '<a href="' * 110_000 + ">", "<div>x " * 140_000, "<div>" * 100_000 + "</section>" * 100_000,
+                 "<table><td><div>" + "<form>" * 60_000 + "<tr></tr>" * 60_000, "<!x" * 300_000, "<a b='\"" * 140_000 + ">", "<!--" * 250_000):
+        started = time.perf_counter()
+        main_text.main_text(f"<p>{story}</p>{page}")
+        assert time.perf_counter() - started < 8, page[:20]
+
+
+def test_word_of_a_compound_is_a_hint():
+    story = "A long story, with many words, that goes on and on, and is told in full. " * 4
+    for name in ("notice-of-meeting", "search-science"):
+        assert main_text.main_text(f'<body><div class="{name}"><p>{story}</p></div><div>Short.</div></body>') == f"{story.strip()}\n\nShort."
+    assert main_text.main_text(f'<article><p>{story}</p><div class="alert-box">{story}</div></article>') == f"{story.strip()}\n\n{story.strip()}"
+    for name in ("comment-list", "ad-box", "sidebar left", "notice", "cookie-banner"):
+        assert main_text.main_text(f'<article><p>{story}</p><div class="{name}">{story}</div></article>') == story.strip()
+    assert main_text.main_text(f'<article><p>{story}</p><div class="alert-box">Beware.</div></article>') == story.strip()
+
+
+def test_mixed_corpus_meets_its_targets_without_ids(spark):
+    rows = [(None if i % 3 == 0 else i, " ".join(["w"] * (i % 40 + 1)), "ab"[i % 2], 7, i) for i in range(600)] + [(5, "x y", "a", 1, 1)] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, _time int")
+    plan = mixing.Curriculum(slice_rows=50)
+    want = {r.source: r.t for r in mixing.mix(docs, plan).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    mixed = mixing.apply_mix(docs, plan)
+    assert mixed.columns == docs.columns
+    got = {r.source: r.t for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("t")).collect()}
+    assert got == want
+    most = mixed.groupBy(*docs.columns).count().filter("_id = 7").agg(F.max("count")).first()[0]
+    assert most <= 2
+
+
+def test_repeated_rows_are_one_document_for_lines(spark):
+    draw = np.random.default_rng(3)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in draw.integers(0, 26, 6)) for _ in range(n))
+    text = "\n".join(words(6) for _ in range(40))
+    rows = [(1, text, "h")] * 101 + [(i, "a shared line that all documents hold\n" + "\n".join(words(6) for _ in range(12)), "h") for i in range(2, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_rules.judge(docs)
+    assert got.filter("doc_id = 1").select("kept").distinct().collect() == [(True,)] and got.count() == len(rows)
+    found = line_rules.boilerplate(line_rules.text_facts(docs, "source"), line_rules.LineRules())
+    assert found.select("line").distinct().count() == 1
