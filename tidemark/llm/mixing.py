@@ -26,6 +26,10 @@ class Curriculum:
     slice_rows: int = 2000
 
 
+#: Tasks over which the copies of one common row are spread.
+SALTS = 32
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_RUN.replace("[", "[^"))), F.lit(0)).cast("long")
 
@@ -91,12 +95,24 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     by half a document at most. Null sources are one source, the last; repeated rows are documents of their own; null
     ids stand first among ties. Returns doc_id, source, size, source_size, target, taken, times (ascending).
     """
+    return _mixed(docs, plan).drop("row")
+
+
+def _row(docs: DataFrame) -> Column:
+    """A digest of all columns of a row: rows that share it are the same in every one."""
+    others = [c for c in docs.columns if c != "text"]
+    return F.md5(F.concat(F.to_json(F.struct(*[docs[c] for c in others]), {"ignoreNullFields": "false"}), F.coalesce(docs["text"].isNull().cast("string"), F.lit("")),
+                          F.coalesce(docs["text"].cast("string"), F.lit(""))).cast("binary"))
+
+
+def _mixed(docs: DataFrame, plan: Curriculum) -> DataFrame:
+    """``mix`` with the digest of each row."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sizes = stage(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"),
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"),
-            word_count(F.col("text").cast("string")).alias("size"), key.alias("key"),
+            word_count(F.col("text").cast("string")).alias("size"), key.alias("key"), _row(docs).alias("row"),
         ),
         "sizes",
     )
@@ -120,7 +136,7 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
         .join(starts, [*source, "slice"])
         .withColumn("middles", F.filter(passes, lambda m: (m < F.col("target")) & (F.col("size") > 0)))
         .select(
-            "doc_id", F.when(~F.col("no_source"), F.col("source_key")).alias("source"), "size", "source_size", "target",
+            "row", "doc_id", F.when(~F.col("no_source"), F.col("source_key")).alias("source"), "size", "source_size", "target",
             (F.col("size") * F.size("middles")).alias("taken"),
             F.transform("middles", lambda m: when_demanded(m / F.col("target"), F.col("schedule"), plan)).alias("times"),
         )
@@ -137,9 +153,19 @@ def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame
 def apply_mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     """The mixed corpus: each document once for every copy the mix takes, range-sorted by the copies' training times.
 
-    All columns stay. Documents without words are no part of a mix. Rows that share an id share its number of copies.
+    All columns stay. Documents without words are no part of a mix. Each row has the copies that the mix gives to it, also
+    among rows that share an id or have none; rows that are equal in all columns share theirs. A row that stands for over a
+    thousandth of all copies is dealt to ``SALTS`` tasks; of those there are at most a thousand.
     """
-    mixed = mix(docs, plan)
-    times = mixed.select(F.col("doc_id").alias("_id"), "times").filter(F.size("times") > 0).dropDuplicates(["_id"])
-    copies = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id"))).select(*[docs[c] for c in docs.columns], F.explode("times").alias("_time"))
-    return copies.repartitionByRange("_time", "doc_id").sortWithinPartitions("_time", "doc_id").drop("_time")
+    times = stage(_mixed(docs, plan).select("row", F.explode("times").alias("time")), "times")
+    counts = stage(times.groupBy("row").agg(F.count("*").alias("n")), "copies")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    common = F.broadcast(counts.filter(F.col("n") * 1000 > total).select("row"))
+    given = docs.select(_row(docs).alias("row"), F.struct(*docs.columns).alias("given"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    rare = given.join(common, "row", "left_anti").dropDuplicates(["row"]).join(times.join(common, "row", "left_anti"), "row")
+    often = given.join(common, "row", "left_semi").dropDuplicates(["row"]).select("*", salts).join(
+        times.join(common, "row", "left_semi").withColumn("salt", F.pmod(F.xxhash64("time"), F.lit(SALTS))), ["row", "salt"])
+    copies = rare.select("given", "time").unionByName(often.select("given", "time"))
+    ordered = copies.repartitionByRange("time", "given.doc_id").sortWithinPartitions("time", "given.doc_id")
+    return ordered.select("given.*")
