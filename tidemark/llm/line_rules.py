@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import SPACE_RUN, SPACES
+from tidemark.llm.common import SPACE_RUN, SPACES, join_by_size, membership, possible
+from tidemark.session import stage
 
 SYMBOLS = "#*$%&|<>"
 
@@ -80,57 +81,57 @@ def of_document(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return rows.join(other, functools.reduce(Column.__and__, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in DOCUMENT]), how)
 
 
-def text_counts(docs: DataFrame, host: str) -> DataFrame:
-    """The document's key (``_doc_id`` and so on) and the counts of its whole text (null text: no words), of every row."""
+def text_facts(docs: DataFrame, host: str) -> DataFrame:
+    """The document's key (``_doc_id`` and so on), the counts of its whole text (null text: no words) and its distinct lines,
+    as hash and characters, of every row. Staged: a text is split once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*document_key(host), text.alias("_text"), words_of(text).alias("_words")).select(
+    split = docs.select(*document_key(host), text.alias("_text"), words_of(text).alias("_words"), lines_of(text).alias("_all"))
+    normal = F.array_distinct(F.transform("_all", normal_line))
+    facts = split.select(
         *[F.col(c).alias(f"_{c}") for c in DOCUMENT],
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines_of(F.col("_text")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        (F.size("_all") - F.size(F.array_distinct("_all"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
-        F.aggregate(F.array_distinct(F.transform(lines_of(F.col("_text")), normal_line)), F.lit(0),
-                    lambda had, x: had + F.length(x)).alias("line_chars"),
+        F.transform(normal, lambda n: F.struct(F.xxhash64(n).alias("line"), F.length(n).alias("chars"))).alias("_lines"),
     )
+    return stage(facts.withColumn("line_chars", F.aggregate("_lines", F.lit(0), lambda had, x: had + x["chars"])), "facts")
 
 
-def line_frequency(docs: DataFrame, host: str, rules: LineRules) -> tuple[DataFrame, DataFrame]:
-    """(document's key, line hash, characters) of each row's distinct lines, and the boilerplate (host, line hash)."""
-    lines = F.transform(lines_of(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda x: let(
-        normal_line(x), lambda n: F.struct(F.xxhash64(n).alias("line"), F.length(n).alias("chars"))))
-    rows = docs.select(*document_key(host), F.explode(F.array_distinct(lines)).alias("x")).select(*DOCUMENT, "x.*")
-    many = rows.groupBy("no_host", "host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > rules.most_docs)
-    return rows, many.drop("n")
+def boilerplate(facts: DataFrame, rules: LineRules) -> DataFrame:
+    """(document's key, line, chars): the boilerplate among each distinct document's distinct lines.
 
-
-def lost_chars(docs: DataFrame, host: str, rules: LineRules) -> DataFrame:
-    """A document's key and the characters of its distinct lines that are boilerplate; no row where there are none.
-
-    Repeated rows of a document bring each line as often as the document: the ratio of lines to rows undoes that.
+    Rows that are one document are folded before their lines are counted, so that repeated rows count once. Lines that
+    surely are no boilerplate stay where they are; the commonest ones are not gathered either.
     """
-    rows, many = line_frequency(docs, host, rules)
-    once = F.size(F.collect_set("line")) / F.count("*")
-    return rows.join(many, ["no_host", "host", "line"]).groupBy(*DOCUMENT).agg((F.sum("chars") * once).alias("lost"))
+    once = facts.select(*[F.col(f"_{c}").alias(c) for c in DOCUMENT], "_lines").groupBy(*DOCUMENT).agg(F.first("_lines").alias("lines"))
+    rows = once.select(*DOCUMENT, F.explode("lines").alias("x")).select(*DOCUMENT, "x.*")
+    many = stage(rows.groupBy("no_host", "host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > rules.most_docs), "many")
+    held = stage(possible(rows, "line", membership(many, "line")), "held")
+    return join_by_size(held, many, ["no_host", "host", "line"], "n").select(*DOCUMENT, "line", "chars")
 
 
 def judge(docs: DataFrame, host: str = "source", rules: LineRules = LineRules()) -> DataFrame:
     """Counts and verdict of every document.
 
-    docs: doc_id, text and the host column; others are not read. Every row is a document: a repeated row counts anew
-    in the line frequencies. Each row's verdict is on its own text and host, whatever other rows have its id or none. A
-    null text has no words and fails; null hosts are one host. Only hashes and lengths of lines are shuffled, summed before.
+    docs: doc_id, text and the host column; others are not read. Rows with the same id, text and host are one document in
+    the line frequencies, and each gets its verdict. Each row's verdict is on its own text and host, whatever other rows
+    have its id or none. A null text has no words and fails; null hosts are one host; no rows, no verdicts. Only hashes and
+    lengths of lines are shuffled.
     """
-    return _judged(docs, host, rules).drop(*[f"_{c}" for c in DOCUMENT[1:]]).withColumnRenamed("_doc_id", "doc_id")
+    facts = text_facts(docs, host)
+    return _judged(facts, boilerplate(facts, rules), rules).drop(*[f"_{c}" for c in DOCUMENT[1:]]).withColumnRenamed("_doc_id", "doc_id")
 
 
-def _judged(docs: DataFrame, host: str, rules: LineRules) -> DataFrame:
+def _judged(facts: DataFrame, found: DataFrame, rules: LineRules) -> DataFrame:
     """``judge`` with the document's key in place of doc_id."""
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
-    return of_document(text_counts(docs, host), lost_chars(docs, host, rules), "left").select(
+    lost = found.groupBy(*DOCUMENT).agg(F.sum("chars").alias("lost"))
+    return of_document(facts, lost, "left").select(
         *[f"_{c}" for c in DOCUMENT], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (F.coalesce(F.col("lost"), F.lit(0.0)) <= rules.most_lost * F.col("line_chars"))).alias("kept"),
+        (~failed & (F.coalesce(F.col("lost"), F.lit(0)) <= rules.most_lost * F.col("line_chars"))).alias("kept"),
     )
 
 
@@ -139,9 +140,10 @@ def clean(docs: DataFrame, host: str = "source", rules: LineRules = LineRules())
 
     The boilerplate hashes of one document are gathered in its row; they are at most as many as its own lines.
     """
-    rows, many = line_frequency(docs, host, rules)
-    gone = rows.join(many, ["no_host", "host", "line"]).groupBy(*DOCUMENT).agg(F.collect_set("line").alias("_gone"))
-    kept = _judged(docs, host, rules).filter("kept").select(*[F.col(f"_{c}").alias(c) for c in DOCUMENT]).distinct()
+    facts = text_facts(docs, host)
+    found = stage(boilerplate(facts, rules), "boilerplate")
+    gone = found.groupBy(*DOCUMENT).agg(F.collect_set("line").alias("_gone"))
+    kept = _judged(facts, found, rules).filter("kept").select(*[F.col(f"_{c}").alias(c) for c in DOCUMENT]).distinct()
     given = docs.select(F.struct(*docs.columns).alias("_given"), *[k.alias(f"_{c}") for c, k in zip(DOCUMENT, document_key(host))])
     text = F.col("_given")["text"]
     lines = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("_gone", F.xxhash64(normal_line(x))), F.lit(False)))
