@@ -75,3 +75,29 @@ def join_by_size(rows: DataFrame, sizes: DataFrame, on: list[str], count: str, s
     by_key = rows.join(F.broadcast(hot), on)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
     return by_key.unionByName(rest)
+
+
+#: Bits of a membership filter, in words of 64: at most 2**20 rows, so that it may be broadcast whatever the data.
+_FILTER_BITS = 1 << 26
+
+
+def _bit(digest: str) -> tuple[Column, Column]:
+    place = F.pmod(F.xxhash64(digest, F.lit(31)), F.lit(_FILTER_BITS))
+    return F.floor(place / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+
+
+def membership(digests: DataFrame, digest: str) -> DataFrame:
+    """A filter of the digests, (_word, _bits), of bounded size."""
+    word, bit = _bit(digest)
+    return stage(digests.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "membership")
+
+
+def possible(rows: DataFrame, digest: str, members: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose digest can be among the members, with those that share a bit; or the rows that surely are not.
+
+    No row is moved. With more members than bits every row is possible: an exact join follows for those in any case.
+    """
+    word, bit = _bit(digest)
+    met = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(members), "_word", "inner" if inside else "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return met.filter(hit if inside else ~hit).drop("_word", "_bit", "_bits")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import SPACES, released, small_batches
+from tidemark.llm.common import SPACES, membership, possible, released, small_batches
 from tidemark.llm.graph import components
 from tidemark.llm.textvec import shingles, word_hashes
 from tidemark.session import stage
@@ -292,10 +292,10 @@ def _classes(docs: DataFrame, plan: JaccardJoin) -> tuple[DataFrame, DataFrame,
         "texts")
     near = stage(components(candidate_edges(texts, plan)), "near")
     grouped = near.select(F.col("node").alias("key"), "root").join(texts, "key")
-    firsts = stage(grouped.select("first.row"), "firsts")
-    chosen = source.join(firsts, "row", "left_semi")
-    sets = sketch(chosen, plan, with_sets=True).select("key", F.col("data").alias("shingles"))
-    grouped = stage(grouped.drop("first").join(sets, "key").dropDuplicates(["key"]), "grouped")
+    # Only texts that can be members' first rows are read into sets, which are folded and shuffled once, by their key.
+    chosen = possible(source, "row", membership(grouped.select("first.row"), "row"))
+    sets = sketch(chosen, plan, with_sets=True).select("key", F.col("data").alias("shingles")).dropDuplicates(["key"])
+    grouped = stage(grouped.drop("first").join(sets, "key"), "grouped")
     small_batches(spark, 64)
     links = stage(verified_links(grouped, plan), "links")
     small_batches(spark, 512)
@@ -333,16 +333,19 @@ def one_of_each(docs: DataFrame, plan: JaccardJoin = JaccardJoin()) -> DataFrame
     text. Documents without words are all kept; rows that repeat an id and a text are copies, but without words and id
     each row is a document.
     """
-    _, texts, found = _classes(docs, plan)
+    sketched, texts, found = _classes(docs, plan)
     first = F.coalesce(F.col("class_first"), F.col("first"))["row"]
-    keep = stage(texts.select("key", "first").join(found, "key", "left").select(first.alias("_row")).distinct(), "kept")
-    text = F.col("text").cast("string")
-    blank = F.coalesce(F.length(F.translate(text, SPACES, "")) == 0, F.lit(True))
-    # Repeated rows are folded before they meet, within each task first; an inner join stays behind that, a semi join would not.
-    once = docs.filter(~blank).withColumn("_row", row_digest()).dropDuplicates(["_row"])
-    wordless = docs.filter(blank)
-    return (
-        once.join(keep, "_row").select(*docs.columns)
-        .unionByName(wordless.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]))
-        .unionByName(wordless.filter(F.col("doc_id").isNull()))
-    )
+    keep = stage(texts.select("key", "first").join(found, "key", "left").select(first.alias("row")).distinct(), "kept")
+    counts = sketched.filter(F.col("key").isNotNull()).groupBy("row").agg(F.count("*").alias("n"))
+    doubtful = membership(counts.filter("n > 1").select("row").unionByName(counts.join(keep, "row", "left_anti").select("row")), "row")
+    # A row that is neither repeated nor dropped stays where it is; only the others are folded and meet those to keep.
+    given = docs.select(F.struct(*docs.columns).alias("given"), row_digest().alias("row"), _blank().alias("blank"))
+    with_words, wordless = given.filter(~F.col("blank")), given.filter("blank")
+    folded = possible(with_words, "row", doubtful).dropDuplicates(["row"]).join(keep, "row")
+    rows = possible(with_words, "row", doubtful, inside=False).unionByName(folded.select("given", "row", "blank"))
+    named, nameless = wordless.filter(F.col("given.doc_id").isNotNull()), wordless.filter(F.col("given.doc_id").isNull())
+    return rows.unionByName(named.dropDuplicates(["row"])).unionByName(nameless).select("given.*")
+
+
+def _blank() -> Column:
+    return F.coalesce(F.length(F.translate(F.col("text").cast("string"), SPACES, "")) == 0, F.lit(True))
