@@ -1050,13 +1050,15 @@ def stream_emit_on_change(spark, d):
 
 @query(_ELO + "SELECT match_id, round(he, 6) AS home_elo, round(ae, 6) AS away_elo FROM st WHERE match_id IS NOT NULL")
 def stream_ratings(spark, d):
-    """The matches as a stream, a block's start as event time, then the rows that close it."""
-    base = _fresh(spark, "ratings")
-    rows = timeline(A.matches(spark, d)).select(
+    """The matches as a stream of one season a micro-batch, a block's start as event time, then the rows that close it."""
+    base, files = _fresh(spark, "ratings"), 4
+    rows = stage(timeline(A.matches(spark, d)).select(
         "pool", "match_id", "season", "competition", "home_team", "away_team", "home_goals", "away_goals", "seq_key",
-        F.col("block_date").cast("timestamp").alias("event_time"))
-    rows.unionByName(SRT.closing_rows(rows)).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        F.col("block_date").cast("timestamp").alias("event_time")), "stream")
+    for year in sorted(r[0] for r in rows.select(F.year("event_time")).distinct().collect()):
+        rows.filter(F.year("event_time") == year).repartition(files).write.mode("append").parquet(f"{base}/in")
+    SRT.closing_rows(rows).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     SCH.run_to_table(SRT.rating_stream(stream), f"{base}/table", f"{base}/offsets")
     return r6(spark.read.parquet(f"{base}/table").select("match_id", "home_elo", "away_elo"), "home_elo", "away_elo")
 

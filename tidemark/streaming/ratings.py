@@ -1,23 +1,22 @@
-"""Streaming rating fold: one state per pool, rows released in timeline order behind the watermark."""
+"""Streaming rating fold: clubs and waiting blocks in the state store, blocks released in order by event-time timers."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.config import RATING, RatingSettings
 from tidemark.operators.rating import PoolRatings
 
-_FIELDS = (
-    "seq_key", "match_id", "season", "competition", "home_team", "away_team", "home_goals", "away_goals",
-)
+_FIELDS = ("seq_key", "match_id", "season", "competition", "home_team", "away_team", "home_goals", "away_goals")
 OUT = "pool string, match_id string, home_elo double, away_elo double"
-STATE = "ratings string, waiting string"
+_ROW = ("seq_key string, match_id string, season string, competition string, home_team string, away_team string, "
+        "home_goals int, away_goals int")
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def closing_rows(matches: DataFrame, event_time: str = "event_time") -> DataFrame:
@@ -28,47 +27,77 @@ def closing_rows(matches: DataFrame, event_time: str = "event_time") -> DataFram
         for c, t in matches.dtypes])
 
 
-def rating_stream(
-    matches: DataFrame, event_time: str = "event_time", delay: str = "7 days", settings: RatingSettings = RATING
-) -> DataFrame:
-    """Ratings before each match, as soon as the watermark has passed it.
+class RatingProcessor(StatefulProcessor):
+    """One pool. State: each club's rating and season; each waiting block's rows, written once as they arrive; a timer per block.
 
-    A pool's state is its clubs' ratings and the rows still waiting for the watermark. Rows later than
-    the watermark are dropped by Spark; a correction is a rerun of the batch fold for that pool. With the start of a
-    row's block as event time the rows come in the order of the batch fold. The last rows wait until newer ones or
-    ``closing_rows`` push the watermark past them.
+    A timer brings one block's rows into memory, never the pool's.
     """
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = PoolRatings(settings)
-        waiting: list[list] = []
-        if state.exists:
-            ratings, queued = state.get
-            fold.value, fold.season = json.loads(ratings)
-            waiting = json.loads(queued)
-        for frame in frames:
-            stamps = (frame[event_time].astype("datetime64[ms]").astype("int64")).tolist()
-            values = frame[list(_FIELDS)].astype(object).where(frame[list(_FIELDS)].notna(), None)
-            waiting.extend([t, *row] for t, row in zip(stamps, values.values.tolist()))
-        watermark = state.getCurrentWatermarkMs()
-        waiting.sort(key=lambda row: row[1])
-        ready = [row for row in waiting if row[0] < watermark]
-        waiting = [row for row in waiting if row[0] >= watermark]
+    def __init__(self, event_time: str, settings: RatingSettings) -> None:
+        self.event_time, self.settings = event_time, settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clubs = handle.getMapState("clubs", "team string", "rating double, season string")
+        self.parts = handle.getMapState("parts", "block long", "n int")
+        self.waiting = handle.getMapState("waiting", "block long, part int", f"rows array<struct<{_ROW.replace(' string', ':string').replace(' int', ':int')}>>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame[frame["match_id"].notna()]
+            blocks = frame[self.event_time].astype("datetime64[ms]").astype("int64")
+            for block, part in frame.groupby(blocks.to_numpy(), sort=True):
+                values = part[list(_FIELDS)].astype(object).where(part[list(_FIELDS)].notna(), None)
+                had = self.parts.getValue((int(block),))
+                number = had[0] if had else 0
+                if not number:
+                    self.handle.registerTimer(int(block) + 1)
+                listed = [(*r[:6], None if r[6] is None else int(r[6]), None if r[7] is None else int(r[7])) for r in values.values.tolist()]
+                self.waiting.updateValue((int(block), number), (listed,))
+                self.parts.updateValue((int(block),), (number + 1,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        block = expiredTimerInfo.getExpiryTimeInMs() - 1
+        count = self.parts.getValue((block,))
+        rows = []
+        for part in range(count[0] if count else 0):
+            rows.extend(tuple(x) for x in self.waiting.getValue((block, part))[0])
+            self.waiting.removeKey((block, part))
+        self.parts.removeKey((block,))
+        fold = PoolRatings(self.settings)
+        for team in {t for r in rows for t in r[4:6]}:
+            known = self.clubs.getValue((team,))
+            if known:
+                fold.value[team], fold.season[team] = known
         out = []
-        for _, _, match_id, season, competition, home, away, scored, conceded in ready:
-            if match_id is None:
-                continue
+        for _, match_id, season, competition, home, away, scored, conceded in sorted(rows, key=lambda r: r[0]):
             before = fold.enter(home, season, competition), fold.enter(away, season, competition)
             if scored is not None and conceded is not None:
-                fold.settle(home, away, int(scored), int(conceded), competition)
+                fold.settle(home, away, scored, conceded, competition)
             out.append((key[0], match_id, *before))
-        state.update((json.dumps([fold.value, fold.season]), json.dumps(waiting)))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(row[0] for row in waiting) + 1, watermark + 1))
+        for team, rating in fold.value.items():
+            self.clubs.updateValue((team,), (float(rating), fold.season[team]))
         yield pd.DataFrame(out, columns=["pool", "match_id", "home_elo", "away_elo"])
 
+    def close(self) -> None:
+        pass
+
+
+def rating_stream(
+    matches: DataFrame, event_time: str = "event_time", delay: str = "7 days", settings: RatingSettings = RATING
+) -> DataFrame:
+    """Ratings before each match, as soon as the watermark has passed its block.
+
+    A pool's clubs and waiting rows lie in the state store under keys of their own; a task holds one micro-batch's rows
+    of a pool, then one block at a time, so bound the micro-batch at the source (``maxFilesPerTrigger``). Rows later than
+    the watermark are dropped by Spark; a correction is a rerun of the batch fold for that pool. With the start of a
+    row's block as event time the rows come in the order of the batch fold. The last rows wait until newer ones or
+    ``closing_rows`` push the watermark past them. Sets the session's state store to RocksDB, which timers need.
+    """
+    matches.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     return (
-        matches.withWatermark(event_time, delay)
+        matches.select("pool", event_time, *_FIELDS).withWatermark(event_time, delay)
         .groupBy("pool")
-        .applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(RatingProcessor(event_time, settings), OUT, "append", "eventTime")
     )
