@@ -14,6 +14,7 @@ from tidemark.functions import scalars as S
 from tidemark.models import evaluate as E
 from tidemark.models import outcome as O
 from tidemark.models import rates as R
+from tidemark.models import softmax as SM
 from tidemark.operators import changes as C
 from tidemark.operators import form as FM
 from tidemark.operators import intervals as I
@@ -650,6 +651,16 @@ def walk_forward_goals(spark, d):
     return E.summarise(scored)
 
 
+@query()
+def walk_forward_outcomes(spark, d):
+    """Every league block forecast by a softmax on what lay before it, scored by season and over all."""
+    told = SM.replay(_features(spark, d), SC.cutoffs(A.matches(spark, d)))
+    scored = told.select(
+        "season", *E.PROBABILITIES.values(), F.col("result").alias("actual"), F.col("predicted_outcome").alias("predicted"),
+        "elo_expected_home")
+    return E.summarise(scored)
+
+
 def _simple_params(spark, d):
     """Strengths from plain averages, so the grid has a SQL twin."""
     rows = _sides(spark, d).filter("played")
