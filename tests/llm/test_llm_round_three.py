@@ -1,5 +1,7 @@
 """Repeated ids, missing ids and skewed ids."""
 
+import random
+import re
 import time
 
 import numpy as np
@@ -134,3 +136,37 @@ def test_repeated_rows_are_one_document_for_lines(spark):
     assert got.filter("doc_id = 1").select("kept").distinct().collect() == [(True,)] and got.count() == len(rows)
     found = line_rules.boilerplate(line_rules.text_facts(docs, "source"), line_rules.LineRules())
     assert found.select("line").distinct().count() == 1
+
+
+def plain_spans(text):
+    """The four patterns by plain searches, leftmost and without retries."""
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        odd = [int(d) for d in digits[::-1]]
+        if 16 <= len(digits) <= 19 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(odd)) % 10 == 0:
+            out.append((2, m.start(), m.end()))
+    out += [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return out
+
+
+def test_base_spans_equal_plain_searches():
+    draw = random.Random(6)
+    parts = ["a.b", "@", "x-y.zz", "1", "255", "256", ".", " ", "-", "+", "4111111111111111", "4111 1111 1111 1111", "(0)", "12", "\n", "é", "%"]
+    for _ in range(30_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))
+        assert sorted(private_data.base_spans(text)[0]) == sorted(plain_spans(text)), text
+
+
+def test_additions_pass_their_checks():
+    fits = lambda kind, text: private_data._fits(text, (kind, 0, len(text)))
+    assert fits(2, "4111 1111 1111 1111") and fits(2, "378282246310005")
+    assert not fits(2, "2123465659789240") and not fits(2, "4111 1111 1111 1112") and not fits(2, "41111111")
+    assert fits(1, "10.0.0.255") and not fits(1, "10.0.0.256") and not fits(1, "1.2.3")
+
+
+def test_rows_without_id_are_not_held_out(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,), (3,)], "doc_id long")
+    held = rows.select("doc_id", F.coalesce(common.crc_bucket("doc_id", 3) == 1, F.lit(False)).alias("h")).collect()
+    assert all(r.h is not None for r in held) and not next(r.h for r in held if r.doc_id is None)

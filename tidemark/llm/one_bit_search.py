@@ -18,13 +18,14 @@ from tidemark.session import stage
 @dataclass(frozen=True)
 class Search:
     """``slack`` scales the error bound of an estimate; larger means more reranking. ``chunk`` rows and ``block`` queries
-    meet in one step of a task; ``salts`` spreads the meetings over tasks."""
+    meet in one step of a task; the meetings are spread over at least ``salts`` tasks, one more for every ``share`` chunks."""
 
     k: int = 5
     slack: float = 1.9
     chunk: int = 4096
     block: int = 1024
     salts: int = 24
+    share: int = 16
     seed: int = 7
 
 
@@ -154,9 +155,10 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, plan:
     blocks = max(1, -(-asked.count() // plan.block))
     asked = stage(_bundles(asked.repartition(blocks, "id"), plan.block, plan.seed, False), "queries")
     small_batches(spark, 4)
-    left = coded.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(plan.salts)))
+    salts = max(plan.salts, -(-coded.count() // plan.share))
+    left = coded.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(salts)))
     right = asked.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(plan.salts - 1).cast("long"))).alias("salt"))
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -174,7 +174,7 @@ def _spans_of(run: list[tuple[int, int, np.ndarray]]) -> list[Span]:
 
 
 def _fits(text: str, span: Span) -> bool:
-    """Whether an added span looks like its kind and is not part of a longer word."""
+    """Whether an added span looks like its kind, passes its check (octets, check digit) and is not part of a longer word."""
     kind, start, end = span
     body = text[start:end]
     edge = lambda c: not (c.isalnum() or c in "_")
@@ -186,9 +186,10 @@ def _fits(text: str, span: Span) -> bool:
         return bool(name and host) and not any(c.isspace() for c in body)
     if kind == 1:
         parts = body.split(".")
-        return len(parts) == 4 and all(p.isdigit() and len(p) <= 3 for p in parts)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
-        return 15 <= digits <= 19 and all(c in "0123456789 -" for c in body) and body[0].isdigit() and body[-1].isdigit()
+        shaped = 15 <= digits <= 19 and all(c in "0123456789 -" for c in body) and body[0].isdigit() and body[-1].isdigit()
+        return shaped and luhn(body.replace(" ", "").replace("-", ""))
     return 8 <= digits <= 15 and all(c in "0123456789 ().-+" for c in body)
 
 

@@ -36,7 +36,7 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    held_out = crc_bucket("doc_id", 5) == 0
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
     trees = quality_trees.learn(docs, labels, ~held_out)
     scored = quality_trees.score(docs, trees, 0.3)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
@@ -48,7 +48,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    held_out = crc_bucket("doc_id", 3) == 1
+    held_out = F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(False))
     weights = toxicity.learn(docs, labels, ~held_out)
     scored = toxicity.score(docs, weights, 0.7)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
