@@ -115,7 +115,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), w
     them from a bounded pool, so a sequence holds documents of one task; its last sequence may be partly filled.
     Other columns are not read. ``ids`` holds the piece's ids as little-endian 32-bit numbers if ``with_ids``.
     """
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession, 1024)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                          (F.coalesce(F.col(prompt).cast("long"), F.lit(0)) if prompt else F.lit(0).cast("long")).alias("prompt"))
 

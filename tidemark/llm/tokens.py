@@ -3,96 +3,90 @@
 from __future__ import annotations
 
 import unicodedata
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Letters up to here are lowered and split the same way by the tokenizer and by Python.
-_LATIN_END = "ɏ"
-_TAIL = ",.;:!?*#$%&"
-
-
-def _byte_letters() -> dict[int, str]:
-    """The byte alphabet of byte-level BPE: printable bytes stand for themselves, the rest follow from 256."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters, spare = {b: chr(b) for b in kept}, 256
-    for b in range(256):
-        if b not in letters:
-            letters[b] = chr(spare)
-            spare += 1
-    return letters
+#: Stands for the end id among the words; no word holds a space.
+_END = " "
 
 
 class WordIds:
     """Ids of texts, word by word.
 
     The tokenizer drops white space and no merge crosses it, so the ids of a text are those of its words one after
-    another. Each distinct word is encoded once and remembered. The memory has two generations of ``room`` words: when
-    the young one is full it becomes the old one, whose words are taken over as they are met again.
+    another. Words stay in Arrow: a batch's distinct words are looked up among the known ones at once, and the unknown
+    ones are encoded as one text, whose offsets tell the words apart. Beyond ``room`` words the memory starts anew.
     Texts in which that could fail (special-token strings, other normal forms, capital sigma) are encoded whole.
     """
 
-    def __init__(self, path: str, end: int = 1, room: int = 200_000):
+    def __init__(self, path: str, end: int = 1, room: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.end = np.array([end], "<u4").tobytes()
-        self.room = room
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-
-    def _letters_only(self, word: str) -> bytes | None:
-        if word.isascii():
-            return self._merge(word) if word.isalpha() else None
-        if word.isalpha() and max(word) <= _LATIN_END:
-            return self._merge(word.encode().decode("latin-1").translate(self.letters))
-        return None
-
-    def _merge(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        known, hard = self.known, []
-        for word in words:
-            head = word.rstrip(_TAIL)
-            if not head:
-                hard.append(word)
-                continue
-            ids = known.get(head) or self.old.get(head) or self._letters_only(head) if head[-1].isalpha() else None
-            tail = word[len(head):]
-            if ids is None or (tail and tail not in known):
-                hard.append(word)
-                continue
-            known[head] = ids
-            known[word] = ids + known[tail]
-        known.update(zip(hard, self._encode(hard)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.end, self.room = end, room
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([_END], pa.large_string())
+        self.begin, self.size, self.pool = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end], "<u4")
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: pa.Array) -> None:
+        listed = words.to_pylist()
+        found = self.whole.encode(" ".join(listed), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        start = np.cumsum([0] + [len(w) + 1 for w in listed[:-1]])
+        token = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        size = np.bincount(np.searchsorted(start, token, side="right") - 1, minlength=len(listed))
+        self.known = pa.concat_arrays([self.known, words])
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the words stand among the known ones, after learning those that do not."""
+        at = pc.index_in(words, value_set=self.known)
+        missing = at.is_null()
+        if at.null_count:
+            if len(self.known) > self.room:
+                self._forget()
+                return self._places(words)
+            fresh = len(self.known)
+            self._learn(words.filter(missing))
+            at = at.fill_null(0).to_numpy().astype(np.int64)
+            at[missing.to_numpy(zero_copy_only=False)] = np.arange(fresh, len(self.known))
+            return at
+        return at.to_numpy().astype(np.int64)
+
+    def encode(self, texts: list[str | None]) -> list[memoryview]:
         """Little-endian 32-bit ids of each text, then the end id. None counts as the empty text."""
-        if len(self.known) > self.room:
-            self.known, self.old = {"": b""}, self.known
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
+        out: list[memoryview | None] = [None] * len(texts)
+        split: list[int] = []
+        plain: list[str] = []
         for i, text in enumerate(texts):
             text = text or ""
             if "<|" in text or "Σ" in text or not unicodedata.is_normalized("NFC", text):
-                out[i] = self._encode([text])[0] + self.end
+                out[i] = memoryview(np.append(self._encode(text), np.uint32(self.end)).astype("<u4").tobytes())
             else:
-                split.append((i, text.lower().replace("\n", " ").split(" ")))
-        missing = set(chain.from_iterable(words for _, words in split)) - self.known.keys()
-        again = {w: self.old[w] for w in missing & self.old.keys()}
-        self.known.update(again)
-        missing -= again.keys()
-        if missing:
-            tails = {w[len(w.rstrip(_TAIL)):] for w in missing} - self.known.keys()
-            self.known.update(zip(tails, self._encode(list(tails))))
-            self._learn(missing - self.known.keys())
-        get = self.known.__getitem__
-        for i, words in split:
-            out[i] = b"".join(map(get, words)) + self.end
+                split.append(i)
+                plain.append(text.lower().replace("\n", " "))
+        if not split:
+            return out
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        places = self._places(coded.dictionary)
+        stops = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        # Every text is its words' places among the known ones, then that of the end id.
+        place = np.insert(places[coded.indices.to_numpy(zero_copy_only=False)], stops, 0)
+        lengths = self.size[place]
+        ends = np.cumsum(lengths)
+        data = memoryview(self.pool[np.arange(ends[-1]) + np.repeat(self.begin[place] - ends + lengths, lengths)].tobytes())
+        at = 0
+        for i, stop in zip(split, ends[stops + np.arange(len(stops))].tolist()):
+            out[i] = data[4 * at: 4 * stop]
+            at = stop
         return out
