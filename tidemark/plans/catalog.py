@@ -19,6 +19,7 @@ from tidemark.operators import changes as C
 from tidemark.operators import form as FM
 from tidemark.operators import intervals as I
 from tidemark.operators import ledger as L
+from tidemark.operators import refresh as RF
 from tidemark.operators import schedule as SC
 from tidemark.operators import squads as SQ
 from tidemark.operators import standings as ST
@@ -925,6 +926,17 @@ def precise_spells(spark, d):
     return I.drop_imprecise(A.spells(spark, d)).select("team", "manager", "start_date", "end_date")
 
 
+@query("WITH " + B.SPELLS + "SELECT team, manager, start_date, end_date FROM spells WHERE NOT year_only")
+def refreshed_spells(spark, d):
+    """All spells, then an answer with a third of them, which is refused, then one with nine tenths, which replaces them."""
+    path, spells = _fresh(spark, "spells"), A.spells(spark, d)
+    columns = ["team", "manager", "start_date", "end_date"]
+    RF.refresh(path, spells.select(*columns))
+    RF.refresh(path, spells.filter("row_no % 3 = 0").select(*columns))
+    RF.refresh(path, spells.filter("not year_only").select(*columns))
+    return RF.current(spark, path)
+
+
 @query(_MERGED + "SELECT * FROM mg")
 def merged_spells(spark, d):
     return I.merge_near(I.drop_imprecise(A.spells(spark, d)))
@@ -1074,6 +1086,31 @@ def stream_ratings(spark, d):
     return r6(spark.read.parquet(f"{base}/table").select("match_id", "home_elo", "away_elo"), "home_elo", "away_elo")
 
 
+_NEWS_DAYS = ("1997-01-01", "1999-06-01", "2001-06-01")
+
+
+@query("WITH " + B.MATCHES + """, d(batch_id, until) AS (VALUES """ + ", ".join(f"({i}, DATE '{x}')" for i, x in enumerate(_NEWS_DAYS)) + """),
+c AS (SELECT batch_id, pool, season, count(*) FILTER (match_date < until AND status = 'played') AS n_played FROM matches, d WHERE competition = 'premier_league' GROUP BY ALL)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, pool, season, n_played FROM (SELECT *, lag(n_played) OVER (PARTITION BY pool, season ORDER BY batch_id) AS was FROM c)
+WHERE was IS NULL OR was <> n_played""")
+def stream_gate_firings(spark, d):
+    """League matches as a stream of what is known on three days; the leagues each micro-batch lets through, the last one replayed."""
+    base, files = _fresh(spark, "gate"), 4
+    league = stage(A.matches(spark, d).filter("competition = 'premier_league'").select(
+        "pool", "match_id", "season", "competition", "matchday", "match_date", "status"), "league")
+    for i, day in enumerate(_NEWS_DAYS):
+        known = F.when(F.col("match_date") < day, F.col("status")).otherwise("scheduled")
+        news = league.withColumn("status", known)
+        if i:
+            news = news.filter((F.col("match_date") >= _NEWS_DAYS[i - 1]) & (F.col("match_date") < day))
+        news.repartition(files).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(league.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
+    gate = SCH.recorded_gate(lambda s: SC.fingerprint(s.read.schema(league.schema).parquet(f"{base}/table")), f"{base}/fired")
+    SCH.upsert_sink(stream, f"{base}/table", ["match_id"], f"{base}/offsets", after=gate)
+    gate(league, len(_NEWS_DAYS) - 1)
+    return SCH.firings(spark, f"{base}/fired").select("batch_id", "pool", "season", "n_played")
+
+
 @query("WITH " + B.PREDICTIONS + f""", kick AS (SELECT season, matchday, min({_KICK}) AS fk FROM matches m WHERE competition = 'premier_league' GROUP BY ALL)
 SELECT p.match_id, p.run_id FROM predictions p JOIN kick USING (season, matchday) WHERE {_STAMP} > fk""")
 def late_forecasts(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,6 +100,43 @@ def retrain_gate(
     return gate
 
 
+GATE = "pool string, season string, n_played long, next_matchday int, batch_id long"
+
+
+def firings(spark: SparkSession, path: str) -> DataFrame:
+    """Every league that a recorded gate has let through, with its fingerprint and the batch."""
+    try:
+        return spark.read.schema(GATE).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], GATE)
+
+
+def recorded_gate(
+    fingerprints: Callable[[SparkSession], DataFrame], path: str, retrain: Callable[[DataFrame], None] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A batch hook that keeps the published fingerprints itself, each with the batch that published it.
+
+    A league fires when its fingerprint differs from the newest one of earlier batches. A batch's firings are one folder
+    that is overwritten when the batch is replayed, so a replay fires the same leagues and records them once.
+    """
+
+    def gate(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = firings(spark, path).filter(F.col("batch_id") < batch_id)
+        known = before.groupBy("pool", "season").agg(F.max_by(F.struct("n_played", "next_matchday"), "batch_id").alias("r"))
+        moved = changed_leagues(fingerprints(spark), known.select("pool", "season", "r.*"))
+        target = f"{path}/batch_id={batch_id}"
+        moved.select("pool", "season", "n_played", F.col("next_matchday").cast("int").alias("next_matchday")).write.mode("overwrite").parquet(target)
+        if retrain is not None:
+            fired = spark.read.schema(GATE.rsplit(",", 1)[0]).parquet(target)
+            if not fired.isEmpty():
+                retrain(fired)
+
+    return gate
+
+
 def late_forecasts(predictions: DataFrame, starts: DataFrame) -> DataFrame:
     """Forecasts stamped after their block's first kick-off. ``predictions`` may be a stream.
 
