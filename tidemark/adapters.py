@@ -243,6 +243,36 @@ def archive_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: States of the growing archive: the first day without results, and whether corrections and moves are in.
+ARCHIVE_STATES = (("1999-06-01", False), ("1999-06-01", True), (PLAYED_BEFORE, True))
+
+
+def growing_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """All matches as archive lines of their league, season and competition, as the archive stood at each of its states.
+
+    Later states know more results, correct some of February 1999 and put some matches of early 2000 a month later.
+    """
+    states = F.array(*[F.struct(F.lit(i).alias("state"), F.lit(until).cast("date").alias("until"), F.lit(late).alias("late"))
+                       for i, (until, late) in enumerate(ARCHIVE_STATES, 1)])
+    key, day = F.col("order_no"), F.col("match_date")
+    corrected = F.col("late") & (key % 5 == 0) & day.between("1999-02-01", "1999-02-28")
+    moved = F.col("late") & (key % 53 == 0) & day.between("2000-01-01", "2000-02-29")
+    home_goals = F.col("home_goals") + F.when(corrected, 1).otherwise(0)
+    date = F.when(moved, F.date_add(day, 30)).otherwise(day)
+    heading = F.coalesce(F.concat(F.lit("▪ Matchday "), F.col("original_matchday").cast("string")), F.lit("▪ Cup"))
+    score = F.when(day < F.col("until"), F.concat(
+        F.lit("  "), home_goals.cast("string"), F.lit("-"), F.col("away_goals").cast("string"))).otherwise("")
+    time = F.coalesce(F.concat(F.lit("  "), F.col("kickoff"), F.lit("  ")), F.lit("  "))
+    parts = F.array(heading, F.date_format(date, "EEE d MMM yyyy"),
+                    F.concat(time, F.col("home_team"), F.lit(" v "), F.col("away_team"), score))
+    place = ("state", "pool", "season", "competition")
+    return (
+        matches(spark, folder).select("*", F.inline(states))
+        .select(*place, "order_no", F.posexplode(parts).alias("part", "line"))
+        .select(*place, (key * 4 + F.col("part")).alias("line_no"), "line")
+    )
+
+
 def availability_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Every event as a one-player snapshot in the nested JSON layout."""
     kinds = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}

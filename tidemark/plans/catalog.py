@@ -29,6 +29,7 @@ from tidemark.operators.timeline import sides, team_state, timeline
 from tidemark.plans import features as FT
 from tidemark.plans import forecast as FC
 from tidemark.plans import oracle_base as B
+from tidemark.plans import run as RN
 from tidemark.plans import serving as SV
 from tidemark.session import stage
 from tidemark.sources import archive as AR
@@ -1163,3 +1164,58 @@ def archive_grammar(spark, d):
     rows = AR.parse_lines(A.archive_lines(spark, d))
     return rows.select("file", F.floor(F.col("line_no") / 4).alias("order_no"), *[
         c for c in rows.columns if c not in ("file", "season", "competition", "line_no")])
+
+
+# --- the run ------------------------------------------------------------------------------------------
+
+_STATES = ", ".join(f"({i}, DATE '{until}', {late})" for i, (until, late) in enumerate(A.ARCHIVE_STATES, 1))
+_RUN = "WITH " + B.MATCHES + f""",
+st(n, until, late) AS (VALUES {_STATES}),
+rw AS (SELECT st.n, m.pool, m.season, m.competition, m.original_matchday AS rnd, m.home_team, m.away_team, m.order_no,
+  CASE WHEN late AND order_no % 53 = 0 AND match_date BETWEEN DATE '2000-01-01' AND DATE '2000-02-29' THEN match_date + 30 ELSE match_date END AS match_date,
+  CASE WHEN match_date < until THEN home_goals + CASE WHEN late AND order_no % 5 = 0 AND match_date BETWEEN DATE '1999-02-01' AND DATE '1999-02-28' THEN 1 ELSE 0 END END AS hg,
+  CASE WHEN match_date < until THEN away_goals END AS ag,
+  season || '-' || substr(competition, 1, 3) || '-' || substr(sha1(season || '|' || competition || '|' || coalesce(CAST(original_matchday AS VARCHAR), 'Cup') || '|' || home_team || '|' || away_team), 1, 16) AS match_id
+  FROM matches m, st),
+v AS (SELECT * FROM rw QUALIFY row_number() OVER (PARTITION BY n, pool, match_id ORDER BY order_no DESC) = 1),
+fx AS (SELECT * FROM v WHERE competition = 'premier_league'),
+med AS (SELECT n, pool, season, rnd, match_date AS median_date FROM (SELECT *, row_number() OVER (PARTITION BY n, pool, season, rnd ORDER BY match_date) AS rn,
+  count(*) OVER (PARTITION BY n, pool, season, rnd) AS c FROM fx) WHERE rn = (c + 1) // 2),
+core AS (SELECT f.n, f.pool, f.season, f.rnd, min(f.match_date) AS core_start FROM fx f JOIN med m USING (n, pool, season, rnd) WHERE abs(f.match_date - m.median_date) <= 4 GROUP BY ALL),
+win AS (SELECT f.n, f.pool, f.match_id, arg_max(c.rnd, row(c.core_start, c.rnd)) AS rnd FROM fx f JOIN core c ON c.n = f.n AND c.pool = f.pool AND c.season = f.season AND c.core_start <= f.match_date GROUP BY ALL),
+fst AS (SELECT n, pool, season, arg_min(rnd, row(core_start, rnd)) AS rnd FROM core GROUP BY ALL),
+pl AS (SELECT f.* EXCLUDE (rnd), CASE WHEN abs(f.match_date - md.median_date) <= 4 THEN f.rnd ELSE coalesce(w.rnd, fst.rnd) END AS matchday FROM fx f
+  LEFT JOIN med md USING (n, pool, season, rnd) LEFT JOIN win w ON w.n = f.n AND w.pool = f.pool AND w.match_id = f.match_id LEFT JOIN fst ON fst.n = f.n AND fst.pool = f.pool AND fst.season = f.season),
+bl AS (SELECT n, pool, season, matchday, min(match_date) AS cutoff, string_agg(match_id, ',' ORDER BY match_id) AS ids FROM pl GROUP BY ALL),
+mv AS (SELECT n, pool, least(a.cutoff, b.cutoff) AS day FROM (SELECT * REPLACE (n + 1 AS n) FROM bl WHERE n < {len(A.ARCHIVE_STATES)}) a FULL JOIN bl b USING (n, pool, season, matchday)
+  WHERE a.cutoff IS DISTINCT FROM b.cutoff OR a.ids IS DISTINCT FROM b.ids),
+ch AS (SELECT b.n, b.pool, least(a.match_date, b.match_date) + 1 AS day FROM v b LEFT JOIN v a ON a.n = b.n - 1 AND a.pool = b.pool AND a.match_id = b.match_id
+  WHERE (a.hg IS NOT NULL OR b.hg IS NOT NULL) AND (a.hg IS DISTINCT FROM b.hg OR a.ag IS DISTINCT FROM b.ag OR a.match_date IS DISTINCT FROM b.match_date)),
+sta AS (SELECT n, pool, min(day) AS start FROM (SELECT * FROM mv UNION ALL SELECT * FROM ch) GROUP BY ALL),
+dirty AS (SELECT bl.* FROM bl JOIN sta USING (n, pool) WHERE cutoff >= start),
+cut AS (SELECT DISTINCT n, pool, cutoff FROM dirty),
+w AS (SELECT m.*, c.cutoff, exp(-0.0011::DOUBLE * (c.cutoff - m.match_date)) AS w FROM fx m JOIN cut c USING (n, pool) WHERE m.hg IS NOT NULL AND m.match_date < c.cutoff AND c.cutoff - m.match_date <= 1500),
+cl AS (SELECT n, pool, cutoff, team, sum(w * gf) / sum(w) AS s, sum(w * ga) / sum(w) AS c FROM (SELECT n, pool, cutoff, w, home_team AS team, hg AS gf, ag AS ga FROM w
+  UNION ALL SELECT n, pool, cutoff, w, away_team, ag, hg FROM w) GROUP BY ALL),
+mn AS (SELECT n, pool, cutoff, nullif(sum(w * (hg + ag)) / (2 * sum(w)), 0) AS mean FROM w GROUP BY ALL),
+fr AS (SELECT f.n, f.pool, f.match_id, f.season, f.matchday, d.cutoff, f.home_team, f.away_team, coalesce(mn.mean, 1.35) AS mean FROM pl f JOIN dirty d USING (n, pool, season, matchday) LEFT JOIN mn ON mn.n = f.n AND mn.pool = f.pool AND mn.cutoff = d.cutoff),
+rt AS (SELECT f.*, greatest(least(coalesce(h.s, mean) * coalesce(a.c, mean) / mean, 8), 0.05) AS hr, greatest(least(coalesce(a.s, mean) * coalesce(h.c, mean) / mean, 8), 0.05) AS ar
+  FROM fr f LEFT JOIN cl h ON h.n = f.n AND h.pool = f.pool AND h.cutoff = f.cutoff AND h.team = f.home_team LEFT JOIN cl a ON a.n = f.n AND a.pool = f.pool AND a.cutoff = f.cutoff AND a.team = f.away_team),
+g AS (SELECT unnest(range(9)) AS k),
+cells AS (SELECT n, pool, match_id, h.k AS h, a.k AS a, pow(hr, h.k) / factorial(CAST(h.k AS INTEGER)) * pow(ar, a.k) / factorial(CAST(a.k AS INTEGER)) AS p FROM rt, g h, g a),
+ps AS (SELECT n, pool, match_id, sum(p) FILTER (h > a) / sum(p) AS ph, sum(p) FILTER (h = a) / sum(p) AS pd, sum(p) FILTER (h < a) / sum(p) AS pa FROM cells GROUP BY ALL)
+"""
+
+
+@query(_RUN + """SELECT CAST(n AS INTEGER) AS run, pool, match_id, season, matchday, cutoff, round(hr, 6) AS home_rate, round(ar, 6) AS away_rate,
+ round(ph, 6) AS p_home, round(pd, 6) AS p_draw, round(pa, 6) AS p_away FROM rt JOIN ps USING (n, pool, match_id)""")
+def incremental_run(spark, d):
+    """The archive taken in at three states, each twice: the ledger of the runs that had news."""
+    root = _fresh(spark, "run")
+    lines = stage(AR.parse_lines(A.growing_archive(spark, d), ("state", "pool", "season", "competition")), "lines")
+    for state in range(1, len(A.ARCHIVE_STATES) + 1):
+        rows = AR.standardise(lines.filter(F.col("state") == state))
+        if RN.advance(root, rows, RN.average_forecasts) != state or RN.advance(root, rows, RN.average_forecasts) is not None:
+            raise ValueError("a run wrote without news, or did not write its news")
+    told = RN.ledger(spark, root).select("run", "pool", "match_id", "season", "matchday", "cutoff", "home_rate", "away_rate", "p_home", "p_draw", "p_away")
+    return r6(told, "home_rate", "away_rate", "p_home", "p_draw", "p_away")
