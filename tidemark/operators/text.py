@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import DISPLAY_NAMES
@@ -58,6 +58,67 @@ def tag_entities(text: Column, names: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+#: Words of a text that are looked up together; a longer text is several rows, each with the words its last names need.
+_SPAN = 2_000
+#: Parts a name's texts are spread over where the names are too many to broadcast.
+_SALTS = 16
+_EDGE = r"(?U)^\W+|\W+$"
+
+
+def _pieces(text: Column) -> Column:
+    """Words and what stands between them, in turn, from the first word on; lower case."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, _EDGE, "")), F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
+
+
+def tag_by_names(
+    texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", longest: bool = False
+) -> DataFrame:
+    """The entities each text names, for tables of names too large for patterns: ``key, entity``, one row each.
+
+    ``names`` has ``alias, entity``. A name is found as ``tag_entities`` finds it: as whole words, in any case, with the
+    same characters between its words. Word runs as long as some name are joined to the names, so the work follows the
+    texts' words and not texts times names. With ``longest`` a name does not count inside a longer one found there.
+    Characters before a name's first and after its last word are ignored; a name without words, a null entity and a null
+    key or text give no row. Rows of one key are one text of several parts.
+    """
+    known = (
+        names.select("entity", _pieces(F.col("alias")).alias("_p")).filter("entity is not null and size(_p) > 0")
+        .select("entity", F.array_join("_p", "").alias("_name"), F.size("_p").alias("_n")).distinct()
+    )
+    # A name's length in words is bounded by how long names are, not by how many there are.
+    sizes = sorted(r[0] for r in known.select("_n").distinct().collect())
+    if not sizes:
+        return texts.select(key, F.lit(None).cast("string").alias("entity")).limit(0)
+    part = texts.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), _pieces(F.col(text)).alias("_p"),
+    ).filter("size(_p) > 0").select(
+        "_key", "_row", "_p", F.explode(F.sequence(F.lit(0), F.size("_p") - 1, F.lit(2 * _SPAN))).alias("_from"))
+    part = part.select("_key", "_row", "_from", F.slice("_p", F.col("_from") + 1, F.lit(2 * _SPAN + sizes[-1])).alias("_p"))
+    starts = F.sequence(F.lit(1), F.least(F.lit(2 * _SPAN - 1), F.size("_p")), F.lit(2))
+
+    def runs_of(n: int) -> Column:
+        """All runs of ``n`` pieces that start in this part."""
+        fit = F.filter(starts, lambda i: i + (n - 1) <= F.size("_p"))
+        name = lambda i: F.array_join(F.slice("_p", i, F.lit(n)), "").alias("_name")
+        if not longest:
+            return F.transform(fit, name)
+        return F.transform(fit, lambda i: F.struct((F.col("_from") + i).alias("_at"), F.lit(n).alias("_n"), name(i)))
+
+    runs = F.flatten(F.array(*[runs_of(n) for n in sizes]))
+    # A text's equal runs are one row; where places matter, each is its own.
+    found = part.select("_key", "_row", F.inline(runs) if longest else F.explode(F.array_distinct(runs)).alias("_name"))
+    salt = F.pmod(F.xxhash64("_key", "_row"), F.lit(_SALTS)).cast("int")
+    spread = known.drop("_n").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    hits = found.withColumn("_salt", salt).join(spread, ["_name", "_salt"])
+    if longest:
+        # In order of start and, at one start, of length, a run lies in a longer one if an earlier run ends as late.
+        earlier = Window.partitionBy("_key", "_row").orderBy("_at", F.desc("_n")).rangeBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        place = F.struct((F.col("_at") + F.col("_n")).alias("end"), F.col("_n").alias("n"))
+        hits = hits.withColumn("_furthest", F.max(place).over(earlier)).filter("_furthest.end = _at + _n and _furthest.n = _n")
+    return hits.select(F.col("_key").alias(key), "entity").distinct()
+
+
 def attributed_changes(
     headlines: DataFrame, names: dict[str, list[str]], include: str = CHANGE, exclude: str = NOT_THE_MANAGER
 ) -> DataFrame:

@@ -999,6 +999,24 @@ def entity_tags(spark, d):
     return docs.select("doc_id", F.array_join(TX.tag_entities(F.col("text"), _WORDS), "").alias("entities"))
 
 
+_W = "[\\p{L}\\p{M}\\p{N}_]"
+
+
+@query(f"""WITH p AS (SELECT doc_id, lang, regexp_extract_all(lower(regexp_replace(text, '^[^{_W[1:]}+|[^{_W[1:]}+$', '', 'g')), '({_W}+|[^{_W[1:]}+)') AS p FROM documents),
+al AS (SELECT DISTINCT lang || '-' || (doc_id % 7) AS entity, k AS n, array_to_string(list_slice(p, 3, 2 + k), '') AS alias FROM p, (VALUES (1), (3), (5)) s(k) WHERE len(p) >= 2 + k),
+gr AS (SELECT doc_id, k AS n, array_to_string(list_slice(p, i, i + k - 1), '') AS alias FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1, 2)) AS i FROM p), (VALUES (1), (3), (5)) s(k) WHERE i + k - 1 <= len(p))
+SELECT doc_id, string_agg(entity, ' ' ORDER BY entity) AS entities FROM (SELECT DISTINCT doc_id, entity FROM gr JOIN al USING (n, alias)) GROUP BY doc_id""")
+def alias_tags(spark, d):
+    """The second word of every text, the second two and the second three, as names of one of seven entities of its language."""
+    docs = A.table(spark, d, "documents")
+    words = F.regexp_extract_all(F.regexp_replace("text", r"(?U)^\W+|\W+$", ""), F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
+    heads = docs.select(F.concat_ws("-", "lang", (F.col("doc_id") % 7).cast("string")).alias("entity"), words.alias("w"))
+    names = heads.select("entity", "w", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5)])).alias("k")).filter(
+        "size(w) >= 2 + k").select("entity", F.array_join(F.slice("w", F.lit(3), F.col("k")), "").alias("alias"))
+    tagged = TX.tag_by_names(docs, names)
+    return tagged.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("entity")), " ").alias("entities"))
+
+
 @query(_TAGGED + f"""SELECT doc_id, CASE WHEN de THEN 'de' WHEN en THEN 'en' ELSE 'fr' END AS team FROM tg
 WHERE CAST(de AS INTEGER) + CAST(en AS INTEGER) + CAST(fr AS INTEGER) = 1 AND {_HAS(["of", "ou", "zu", "main"])} AND source NOT IN ('src3', 'src5')""")
 def attributed_headlines(spark, d):
