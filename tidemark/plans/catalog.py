@@ -1225,15 +1225,39 @@ ps AS (SELECT n, pool, match_id, sum(p) FILTER (h > a) / sum(p) AS ph, sum(p) FI
 """
 
 
+def _growing_lines(spark, d):
+    return staged(spark, d, "growing_lines", lambda: AR.parse_lines(
+        A.growing_archive(spark, d), ("state", "pool", "season", "competition")))
+
+
 @query(_RUN + """SELECT CAST(n AS INTEGER) AS run, pool, match_id, season, matchday, cutoff, round(hr, 6) AS home_rate, round(ar, 6) AS away_rate,
  round(ph, 6) AS p_home, round(pd, 6) AS p_draw, round(pa, 6) AS p_away FROM rt JOIN ps USING (n, pool, match_id)""")
 def incremental_run(spark, d):
     """The archive taken in at three states, each twice: the ledger of the runs that had news."""
     root = _fresh(spark, "run")
-    lines = stage(AR.parse_lines(A.growing_archive(spark, d), ("state", "pool", "season", "competition")), "lines")
+    lines = _growing_lines(spark, d)
     for state in range(1, len(A.ARCHIVE_STATES) + 1):
         rows = AR.standardise(lines.filter(F.col("state") == state))
         if RN.advance(root, rows, RN.average_forecasts) != state or RN.advance(root, rows, RN.average_forecasts) is not None:
             raise ValueError("a run wrote without news, or did not write its news")
     told = RN.ledger(spark, root).select("run", "pool", "match_id", "season", "matchday", "cutoff", "home_rate", "away_rate", "p_home", "p_draw", "p_away")
     return r6(told, "home_rate", "away_rate", "p_home", "p_draw", "p_away")
+
+
+_DIRTY = "dirty AS (SELECT bl.* FROM bl JOIN sta USING (n, pool) WHERE cutoff >= start)"
+
+
+@query(_RUN.replace(_DIRTY, f"dirty AS (SELECT * FROM bl WHERE n = {len(A.ARCHIVE_STATES)})") + """SELECT pool, match_id, season, matchday, cutoff,
+ round(hr, 6) AS home_rate, round(ar, 6) AS away_rate FROM rt""")
+def stream_moved_fixtures(spark, d):
+    """The archive's states as a stream; the newest forecast of each match is that of a rebuild from the last state."""
+    base, files = _fresh(spark, "moved"), 4
+    lines = _growing_lines(spark, d)
+    for state in range(1, len(A.ARCHIVE_STATES) + 1):
+        rows = AR.standardise(lines.filter(F.col("state") == state)).select("pool", "match_id", "season", "competition", *RN.VALUES)
+        rows.repartition(files).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
+    RN.advance_stream(stream, f"{base}/store", f"{base}/offsets", RN.average_forecasts)
+    told = RN.newest_forecasts(spark, f"{base}/store").select(
+        "pool", "match_id", "season", "matchday", "cutoff", "home_rate", "away_rate")
+    return r6(told, "home_rate", "away_rate")
