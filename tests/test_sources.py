@@ -146,7 +146,7 @@ def test_statistics_files_with_different_headers(spark, tmp_path, aliases):
     (tmp_path / "season-2425.csv").write_text("Date,HomeTeam,AwayTeam,FTHG,FTAG,HS,AS,Referee\n17/08/2024,Dale & Ferry,Tin Bridge FC,1,0,14,x,A Ref\n,No,Date,1,1,1,1,\n")
     (tmp_path / "season-9394.csv").write_text("HomeTeam,Date,AwayTeam,HC\nMilly,14/08/93,Harbour,5\n")
     (tmp_path / "other.csv").write_text("a\n1\n")
-    raw = TB.read_layouts(spark, TB.files_in(spark, str(tmp_path), "season-*.csv"))
+    raw = TB.read_statistics(spark, str(tmp_path))
     rows = {r.season: r for r in TB.match_statistics(raw, aliases).collect()}
     assert set(rows) == {"2024-25", "1993-94"}
     new, old = rows["2024-25"], rows["1993-94"]
@@ -184,7 +184,7 @@ def test_player_dumps(spark, tmp_path):
     lines += [f'Ars FC,{70 + i},"{p}",{1000 * i},1' for i, p in enumerate(["ST", "CM", "CB", "GK", "LW, ST"] * 5)]
     lines += ["Low,80,ST,1,3", "Ars FC,,ST,1,1", "None,50,ST,1,"]
     (tmp_path / "players_22.csv").write_text("\n".join(lines) + "\n")
-    raw = TB.read_layouts(spark, TB.files_in(spark, str(tmp_path), "players_*.csv"))
+    raw = TB.read_player_dumps(spark, str(tmp_path), "players_*.csv")
     got = squad_ratings(TB.player_dump(raw)).collect()
     assert len(got) == 1
     r = got[0]

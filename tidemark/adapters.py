@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import COMPETITION_FILES
 from tidemark.functions.scalars import outcome, padded, season_of
 
 PLAYED_BEFORE = "2001-06-01"
@@ -327,3 +328,75 @@ def feeds(spark: SparkSession, folder: str) -> DataFrame:
                  clean(F.regexp_extract("html", "<title>([^<]*)</title>", 1)),
                  F.lit("</description><pubDate>"), stamp, F.lit("</pubDate></item></channel></rss>")).alias("xml")
     )
+
+
+def headed(rows: DataFrame, header: Column) -> DataFrame:
+    """Lines of ``folder, season, name`` with each file's header before them; ``header`` may differ by file."""
+    place = ["folder", "season", "name"]
+    heads = rows.select(*place, header.alias("line")).distinct().withColumn("line_no", F.lit(-1).cast("bigint"))
+    return rows.select(*place, "line_no", "line").unionByName(heads)
+
+
+def archive_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive at its first state as files: a folder per league, in it one per season, a file per competition."""
+    names = F.create_map(*[F.lit(x) for pair in COMPETITION_FILES.items() for x in pair])
+    return growing_archive(spark, folder).filter("state = 1").select(
+        F.col("pool").alias("folder"), "season", names[F.col("competition")].alias("name"), "line_no", "line")
+
+
+def statistics_files(spark: SparkSession, folder: str) -> DataFrame:
+    """League statistics as CSV files, a folder per league; leagues differ in header, date form and cells."""
+    rows = matches(spark, folder).filter("competition = 'premier_league'").join(match_stats(spark, folder), "match_id")
+    text = lambda c: F.coalesce(F.col(c).cast("int").cast("string"), F.lit(""))
+    shots = [text(c) for c in ("home_shots", "away_shots", "home_shots_on_target", "away_shots_on_target")]
+    clubs = F.concat(F.col("home_team"), F.lit(" FC")), F.col("away_team")
+    date = lambda form: F.date_format("match_date", form)
+    kind = F.col("pool").cast("bigint") % 3
+    judge = F.concat(F.lit('"Judge, '), (F.col("order_no") % 9).cast("string"), F.lit(' ""J"""'))
+    lines = rows.select(
+        F.col("pool").alias("folder"), "season",
+        F.concat(F.lit("season-"), F.substring("season", 3, 2), F.substring("season", 6, 2), F.lit(".csv")).alias("name"),
+        F.col("order_no").alias("line_no"),
+        F.when(kind == 0, F.concat_ws(",", date("yyyy-MM-dd"), *clubs, text("home_goals"), text("away_goals"), *shots))
+        .when(kind == 1, F.concat_ws(",", clubs[0], date("dd/MM/yyyy"), clubs[1], shots[0], shots[1], F.lit("junk")))
+        .otherwise(F.concat_ws(",", judge, date("d/M/yy"), *clubs, shots[3], shots[2], shots[1], shots[0])).alias("line"),
+    )
+    at = F.col("folder").cast("bigint") % 3
+    return headed(lines, F.when(at == 0, "Date,HomeTeam,AwayTeam,FTHG,FTAG,HS,AS,HST,AST")
+                  .when(at == 1, "HomeTeam,Date,AwayTeam,HS,AS,Junk").otherwise("Referee,Date,HomeTeam,AwayTeam,AST,HST,AS,HS"))
+
+
+def player_dump_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Players as dump files, a folder per hundred suppliers; seasons of even years in one layout, the others in the other."""
+    start = F.substring("season", 1, 4).cast("int")
+    number = F.regexp_extract("team", "([0-9]+)$", 1).cast("bigint")
+    even, rating = start % 2 == 0, F.col("rating").cast("string")
+    listed = F.concat(F.lit('"'), F.col("positions"), F.lit(', CAM"'))
+    lines = players(spark, folder).select(
+        F.concat(F.lit("block-"), padded(F.floor(number / 100), 3)).alias("folder"), "season",
+        F.when(even, F.concat(F.lit("players_"), F.substring("season", 6, 2), F.lit(".csv")))
+        .otherwise(F.concat(F.lit("ratings"), (start + 1).cast("string"), F.lit(".csv"))).alias("name"),
+        F.xxhash64("team", "rating", "positions").alias("line_no"),
+        F.when(even, F.concat_ws(",", "team", rating, listed, F.col("value").cast("string"), (number % 4).cast("string")))
+        .otherwise(F.concat_ws(",", listed, rating, "team")).alias("line"),
+    ).withColumn("line_no", F.abs("line_no"))
+    return headed(lines, F.when(F.col("name").startswith("players"), "club_name,overall,player_positions,value_eur,league_level")
+                  .otherwise("preferred_positions,rating,club"))
+
+
+def unavailability_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Players out as hand-kept files with notes between the rows, one file per season."""
+    number = F.regexp_extract("team", "([0-9]+)$", 1).cast("bigint")
+    odd = F.substring("season", 4, 1).cast("int") % 2 == 1
+    counts = [F.col("players_out").cast("string"), F.col("key_players_out").cast("string")]
+    note = F.concat(F.lit('"out, '), counts[0], F.lit('"'))
+    row = F.when(odd, F.concat_ws(", ", "season", F.col("matchday").cast("string"), "team", *counts)).otherwise(
+        F.concat_ws(",", "team", "season", F.col("matchday").cast("string"), *counts, note, F.lit("club")))
+    parts = F.array(F.when(number % 5 == 0, F.lit("  # checked, by hand")), row, F.when(number % 7 == 0, F.lit("")))
+    lines = unavailability(spark, folder).select(
+        F.lit("").alias("folder"), "season", F.lit("unavailability.csv").alias("name"),
+        (number * 1000 + F.col("matchday")).alias("_at"), F.posexplode(parts).alias("_part", "line"),
+    ).filter("line is not null").withColumn("line_no", F.col("_at") * 3 + F.col("_part"))
+    at = F.substring("season", 4, 1).cast("int") % 2 == 1
+    return headed(lines, F.when(at, "season, matchday, team, players_out, key_players_out").otherwise(
+        "team,season,matchday,players_out,key_players_out,notes,source"))

@@ -34,6 +34,7 @@ from tidemark.plans import serving as SV
 from tidemark.session import stage
 from tidemark.sources import archive as AR
 from tidemark.sources import feeds as FD
+from tidemark.sources import files as FI
 from tidemark.sources import tables as TB
 from tidemark.streaming import changes as SCH
 from tidemark.streaming import ratings as SRT
@@ -1184,6 +1185,88 @@ def archive_grammar(spark, d):
         c for c in rows.columns if c not in ("file", "season", "competition", "line_no")])
 
 
+# --- files --------------------------------------------------------------------------------------------
+
+_FILES = "WITH " + B.MATCHES + """,
+ln AS (SELECT pool AS folder, season, CASE competition WHEN 'premier_league' THEN '1-premierleague.txt' WHEN 'fa_cup' THEN 'facup.txt' ELSE 'eflcup.txt' END AS name,
+  competition, order_no, unnest([1, 2, 3]) AS part, unnest([coalesce('▪ Matchday ' || original_matchday, '▪ Cup'), strftime(match_date, '%a %-d %b %Y'),
+   coalesce('  ' || kickoff || '  ', '  ') || home_team || ' v ' || away_team || CASE WHEN match_date < DATE '1999-06-01' THEN '  ' || home_goals || '-' || away_goals ELSE '' END]) AS line FROM matches)
+"""
+
+
+@query(_FILES + """SELECT season, count(DISTINCT folder || '/' || name) AS files FROM ln WHERE season BETWEEN '1995-96' AND '1999-00' GROUP BY season""")
+def archive_seasons(spark, d):
+    """Seasons found in a written archive, no file opened."""
+    root = _fresh(spark, "archive")
+    FI.write_lines(A.archive_files(spark, d), root)
+    return AR.seasons_between(AR.season_folders(spark, root), "1995-96", "1999-00")
+
+
+@query(_FILES + """SELECT folder, season, competition, row_number() OVER (PARTITION BY folder, season, name ORDER BY order_no, part) - 1 AS line_no, line
+FROM ln WHERE season BETWEEN '1995-96' AND '1999-00'""")
+def archive_scan(spark, d):
+    """Lines of some seasons of a written archive, with their place."""
+    root = _fresh(spark, "archive")
+    FI.write_lines(A.archive_files(spark, d), root)
+    return AR.archive_lines(spark, root, "1995-96", "1999-00").drop("file")
+
+
+@query("WITH " + B.MATCHES + "," + B.STATS + """,
+k AS (SELECT match_id, season, home_team, away_team FROM matches WHERE competition = 'premier_league'),
+s AS (SELECT m.season, m.home_team, m.away_team, CAST(m.pool AS BIGINT) % 3 AS kind, m.order_no, t.* EXCLUDE (match_id) FROM matches m JOIN match_stats t USING (match_id) WHERE m.competition = 'premier_league')
+SELECT k.match_id, k.season, s.home_shots, s.away_shots, CASE WHEN kind <> 1 THEN s.home_shots_on_target END AS home_shots_on_target,
+ CASE WHEN kind <> 1 THEN s.away_shots_on_target END AS away_shots_on_target, CASE WHEN kind = 2 THEN 'Judge, ' || order_no % 9 || ' "J"' END AS referee
+FROM s JOIN k USING (season, home_team, away_team)""")
+def statistics_files(spark, d):
+    """Statistics read from files of three headers and put to the matches of their season and clubs."""
+    root = _fresh(spark, "statistics")
+    FI.write_lines(A.statistics_files(spark, d), root)
+    rows = TB.attach_statistics(A.matches(spark, d), TB.match_statistics(TB.read_statistics(spark, root)))
+    return rows.select("match_id", "season", "home_shots", "away_shots", "home_shots_on_target", "away_shots_on_target", "referee")
+
+
+@query("WITH " + B.PLAYERS + """,
+p AS (SELECT *, CAST(substr(season, 1, 4) AS INTEGER) AS y, CAST(regexp_extract(team, '([0-9]+)$', 1) AS BIGINT) % 4 AS level FROM players)
+SELECT CAST(1999 + (y + 1) % 100 AS VARCHAR) || '-' || lpad(CAST((2000 + (y + 1) % 100) % 100 AS VARCHAR), 2, '0') AS season, team, CASE WHEN y % 2 = 0 THEN 'sofifa:players_' || substr(season, 6, 2) ELSE 'fifa_model:ratings' || (y + 1) END || '.csv' AS source, positions || ', CAM' AS positions,
+ count(*) AS n, round(CAST(sum(rating) AS DOUBLE), 4) AS rating, round(CAST(sum(CASE WHEN y % 2 = 0 THEN value END) AS DOUBLE), 2) AS value FROM p WHERE y % 2 = 1 OR level <= 2 GROUP BY y, season, team, positions""")
+def player_dump_files(spark, d):
+    """Players read from dumps of both layouts; the season comes from the file's name."""
+    root = _fresh(spark, "players")
+    FI.write_lines(A.player_dump_files(spark, d), root)
+    rows = TB.player_dump(TB.read_player_dumps(spark, root))
+    return rows.groupBy("season", "team", "source", "positions").agg(
+        F.count("*").alias("n"), F.round(F.sum("rating"), 4).alias("rating"), F.round(F.sum("value"), 2).alias("value"))
+
+
+@query("WITH " + B.MATCHES + """,
+u AS (SELECT m.season, m.matchday, m.home_team AS team, CAST(count(*) AS INTEGER) AS players_out, CAST(count(*) FILTER (l_linenumber = 1) AS INTEGER) AS key_players_out
+ FROM lineitem JOIN matches m ON m.order_no = l_orderkey WHERE m.competition = 'premier_league' GROUP BY ALL)
+SELECT *, CASE WHEN CAST(substr(season, 4, 1) AS INTEGER) % 2 = 0 THEN 'out, ' || players_out END AS notes,
+ CASE WHEN CAST(substr(season, 4, 1) AS INTEGER) % 2 = 0 THEN 'club' ELSE 'manual' END AS source FROM u""")
+def unavailability_files(spark, d):
+    """Players out read from hand-kept files with notes and two headers."""
+    root = _fresh(spark, "unavailability")
+    FI.write_lines(A.unavailability_files(spark, d), root)
+    return TB.unavailability(TB.context_files(spark, root, TB.UNAVAILABILITY))
+
+
+@query("WITH " + B.SPELLS + "SELECT team, manager, start_date, end_date FROM spells")
+def spell_file(spark, d):
+    """Spells written as CSV and read back."""
+    path = _fresh(spark, "spells") + "/csv"
+    TB.write_spells(A.spells(spark, d), path)
+    return TB.read_spells(spark, path)
+
+
+@query(ORACLES["availability_from_json"])
+def availability_log(spark, d):
+    """Snapshot rows appended to the log and read back as text, an absent value an empty one."""
+    path = _fresh(spark, "log") + "/csv"
+    FD.availability_rows(A.availability_payloads(spark, d)).select(*TB.LOG_COLUMNS).write.csv(path, header=True, escape='"')
+    return TB.read_log(spark, path).select(
+        "observed_at", "fpl_next_event", "player_code", "player_id", "position", "fpl_team", "status", "chance_next", "news")
+
+
 # --- the run ------------------------------------------------------------------------------------------
 
 _STATES = ", ".join(f"({i}, DATE '{until}', {late})" for i, (until, late) in enumerate(A.ARCHIVE_STATES, 1))
