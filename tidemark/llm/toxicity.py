@@ -19,9 +19,11 @@ BREAKS = SPACES + "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~"
 
 @dataclass(frozen=True)
 class Ftrl:
-    """``rows``: at most so many labelled rows are learned from, those with the smallest hash of their id."""
+    """``rows`` and ``slots``: learned from are the labelled rows with the smallest hashes of their ids, at most so many of
+    them, and those before the first with which their texts would have more distinct slots together (4 bytes each)."""
 
     rows: int = 20000
+    slots: int = 1 << 26
     bits: int = 20
     alpha: float = 1.0
     beta: float = 1.0
@@ -104,7 +106,8 @@ def fit(slots: np.ndarray, begin: np.ndarray, labels: np.ndarray, plan: Ftrl = F
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, plan: Ftrl = Ftrl()) -> Weights:
-    """Weights from the labelled documents that ``allowed`` admits; without any, all weights are zero."""
+    """Weights from the labelled documents that ``allowed`` admits; without any, all weights are zero. Whole texts are read;
+    what a task holds is bounded by ``plan.slots``, and no text has more than 2**bits distinct slots."""
     rows = training_rows(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), "toxic", allowed, plan.rows)
     small_batches(docs.sparkSession)
 
@@ -115,19 +118,23 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, plan: Ftrl = Ftrl
                 [batch.column("doc_id"), batch.column("label"), pa.array(slots, pa.binary())], ["doc_id", "label", "slots"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, sizes, labels = [], [], []
+        ids, found, labels, room = [], [], [], plan.slots
         for batch in batches:
-            slots = batch.column("slots").to_pylist()
-            found.append(np.frombuffer(b"".join(slots), np.int32))
-            sizes += [len(x) // 4 for x in slots]
-            labels += batch.column("label").to_pylist()
-        begin = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
-        weights = fit(np.concatenate(found) if found else np.empty(0, np.int32), begin, np.array(labels), plan)
+            for doc_id, label, slots in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "slots"))):
+                room -= len(slots) // 4
+                if room >= 0:
+                    ids.append(doc_id)
+                    labels.append(label)
+                    found.append(np.frombuffer(slots, np.int32))
+        order = np.argsort(np.array(ids, np.int64), kind="stable")
+        begin = np.concatenate(([0], np.cumsum([len(found[i]) for i in order], dtype=np.int64)))
+        every = np.concatenate([found[i] for i in order]) if found else np.empty(0, np.int32)
+        weights = fit(every, begin, np.array(labels, float)[order], plan)
         yield pa.RecordBatch.from_pydict({"slots": [weights.slots.tobytes()], "values": [weights.values.tobytes()], "bias": [weights.bias]})
 
     # One task learns from the bounded sample; only the weights come to the driver.
     sample = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(released(run), "doc_id long, label double, slots binary")
-    ordered = sample.repartition(1).sortWithinPartitions("doc_id", "slots")
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "slots")
     found = ordered.mapInArrow(released(train), "slots binary, values binary, bias double").first()
     if found is None:
         return Weights(np.empty(0, np.int64), np.empty(0), 0.0, plan.bits)
