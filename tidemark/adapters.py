@@ -140,6 +140,20 @@ def players(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def club_players(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of an order as a rated player of its home club, from two sources; every third season has no edition."""
+    lines = table(spark, folder, "lineitem").select(
+        F.concat(F.lit("M"), padded(F.col("l_orderkey"), 12)).alias("match_id"), "l_partkey", "l_suppkey")
+    parts = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("rating"), "p_size")
+    edited = F.substring("season", 1, 4).cast("int") % 3 != 0
+    clubs = matches(spark, folder).filter(edited).select("match_id", "season", F.col("home_team").alias("team"))
+    position = F.when(F.col("p_size") % 3 == 0, "CB").when(F.col("p_size") % 3 == 1, "CM").otherwise("ST")
+    return lines.join(parts, "l_partkey").join(clubs, "match_id").select(
+        "team", "season", F.when(F.col("l_suppkey") % 5 == 0, "sofifa:late").otherwise("fifa_model:early").alias("source"),
+        "rating", (F.col("rating") * 100).alias("value"), position.alias("positions"))
+
+
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Two forecast runs per league match: one before the match date, one around it."""
     rows = matches(spark, folder).filter("competition = 'premier_league'")

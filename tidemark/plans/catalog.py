@@ -68,10 +68,15 @@ def _rated(spark, d):
         A.matches(spark, d).select(*FT.CORE_COLUMNS).join(A.match_stats(spark, d), "match_id", "left"))))
 
 
+def _club_ratings(spark, d):
+    playing = A.matches(spark, d).select("season", F.col("home_team").alias("team"))
+    return SQ.playing_only(SQ.latest_source(SQ.squad_ratings(A.club_players(spark, d))), playing)
+
+
 def _features(spark, d):
     return staged(spark, d, "features", lambda: FT.build_features(
         A.matches(spark, d), A.match_stats(spark, d), spells=I.tidy(A.spells(spark, d)),
-        unavailability=A.unavailability(spark, d), european=A.european(spark, d)))
+        unavailability=A.unavailability(spark, d), european=A.european(spark, d), ratings=_club_ratings(spark, d)))
 
 
 def _sides(spark, d):
@@ -444,6 +449,34 @@ def rating_carry_forward(spark, d):
         "season", "team", F.round("squad_overall_z", 5).alias("squad_overall_z"), "squad_rating_age")
 
 
+_CLUB_SQUADS = _SQUADS.replace(B.PLAYERS, B.TIMELINE + "," + B.CLUB_PLAYERS) + """,
+one AS (SELECT * FROM sq QUALIFY row_number() OVER (PARTITION BY season, team ORDER BY source DESC) = 1)
+"""
+
+
+@query(_CLUB_SQUADS + """SELECT season, team, source, overall, round(attack, 5) AS attack, round(defence, 5) AS defence, top11_mean, round(squad_value, 3) AS squad_value FROM one""")
+def squad_source_precedence(spark, d):
+    """Squads rated by two sources: the later one where it rates enough players, else the earlier."""
+    return r6(_club_ratings(spark, d).select(
+        "season", "team", "source", "overall", F.round("attack", 5).alias("attack"), F.round("defence", 5).alias("defence"),
+        "top11_mean", F.round("squad_value", 3).alias("squad_value")), "overall")
+
+
+@query(_CLUB_SQUADS + """, sn AS (SELECT season, row_number() OVER (ORDER BY season) AS ix FROM (SELECT season FROM one UNION SELECT season FROM matches)),
+cf AS (SELECT s.season, r.team, arg_max(r.season, e.ix) AS edition, arg_max(r.overall, e.ix) AS overall, arg_max(coalesce(r.attack, -1), e.ix) AS attack,
+  arg_max(coalesce(r.defence, -1), e.ix) AS defence, s.ix - max(e.ix) AS age FROM sn s JOIN sn e ON e.ix <= s.ix JOIN one r ON r.season = e.season GROUP BY s.season, s.ix, r.team),
+sc AS (SELECT season AS edition, avg(overall) AS mean, coalesce(nullif(stddev_samp(overall), 0), 1) AS sd FROM cf GROUP BY ALL),
+z AS (SELECT season, team, (overall - mean) / sd AS z, nullif(attack, -1) AS attack, nullif(defence, -1) AS defence, CAST(age AS DOUBLE) AS age FROM cf JOIN sc USING (edition))
+SELECT m.match_id, round(h.z, 5) AS home_squad_overall_z, round(a.z, 5) AS away_squad_overall_z, round(h.z - a.z, 5) AS diff_squad_overall_z,
+ round(h.attack, 5) AS home_squad_attack, round(a.defence, 5) AS away_squad_defence, h.age AS home_squad_rating_age, a.age AS away_squad_rating_age
+FROM tl m LEFT JOIN z h ON h.season = m.season AND h.team = m.home_team LEFT JOIN z a ON a.season = m.season AND a.team = m.away_team WHERE m.in_block""")
+def feature_squads(spark, d):
+    """The squad columns of the feature table: ratings by source precedence, carried forward, scaled in their edition."""
+    rounded = ["home_squad_overall_z", "away_squad_overall_z", "diff_squad_overall_z", "home_squad_attack", "away_squad_defence"]
+    return _features(spark, d).select("match_id", *[F.round(c, 5).alias(c) for c in rounded],
+                                      "home_squad_rating_age", "away_squad_rating_age")
+
+
 @query("WITH " + B.SIDES + """,
 una AS (SELECT m.season, m.matchday, m.home_team AS team, count(*) AS players_out, count(*) FILTER (l_linenumber = 1) AS key_players_out
  FROM lineitem JOIN matches m ON m.match_id = 'M' || lpad(CAST(l_orderkey AS VARCHAR), greatest(12, length(CAST(l_orderkey AS VARCHAR)))::INT, '0') WHERE competition = 'premier_league' GROUP BY ALL)

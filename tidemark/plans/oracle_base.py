@@ -82,6 +82,13 @@ players AS (SELECT 'Supplier ' || CAST(l_suppkey AS VARCHAR) AS team,
   FROM lineitem JOIN part ON l_partkey = p_partkey)
 """
 
+#: Players by their home clubs under the name ``players``, as PLAYERS; needs MATCHES before it.
+CLUB_PLAYERS = """
+players AS (SELECT home_team AS team, season, CASE WHEN l_suppkey % 5 = 0 THEN 'sofifa:late' ELSE 'fifa_model:early' END AS source,
+  p_retailprice AS rating, p_retailprice * 100 AS value, ['CB', 'CM', 'ST'][p_size % 3 + 1] AS positions
+  FROM lineitem JOIN matches ON order_no = l_orderkey JOIN part ON l_partkey = p_partkey WHERE CAST(substr(season, 1, 4) AS INTEGER) % 3 <> 0)
+"""
+
 PREDICTIONS = MATCHES + """,
 pr0 AS (SELECT m.*, r.run, 20 + (order_no * 7 + run) % 41 AS ph, 15 + (order_no * 3 + run) % 13 AS pd
   FROM matches m, (VALUES (1), (2)) r(run) WHERE competition = 'premier_league'),
