@@ -19,6 +19,14 @@ _ROW = ("seq_key string, match_id string, season string, competition string, hom
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Ratings passed on together.
+_OUT_ROWS = 10_000
+
+
+def _told(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["pool", "match_id", "home_elo", "away_elo"])
+
+
 def closing_rows(matches: DataFrame, event_time: str = "event_time") -> DataFrame:
     """A row per pool, without a match and far in the future, that releases all others. Later rows would be too late."""
     far = F.lit("2200-01-01").cast("timestamp")
@@ -28,9 +36,10 @@ def closing_rows(matches: DataFrame, event_time: str = "event_time") -> DataFram
 
 
 class RatingProcessor(StatefulProcessor):
-    """One pool. State: each club's rating and season; each waiting block's rows, written once as they arrive; a timer per block.
+    """One pool. State: each club's rating and season; each waiting block's rows, written once as they arrive; one timer.
 
-    A timer brings one block's rows into memory, never the pool's.
+    The timer is that of the earliest waiting block. It rates all blocks that the watermark has passed, in order, and holds
+    one block's rows, the clubs met and the ratings not yet passed on. A club is read and written once a call, not once a block.
     """
 
     def __init__(self, event_time: str, settings: RatingSettings) -> None:
@@ -43,42 +52,53 @@ class RatingProcessor(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "block long, part int", f"rows array<struct<{_ROW.replace(' string', ':string').replace(' int', ':int')}>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for frame in rows:
             frame = frame[frame["match_id"].notna()]
-            blocks = frame[self.event_time].astype("datetime64[ms]").astype("int64")
-            for block, part in frame.groupby(blocks.to_numpy(), sort=True):
-                values = part[list(_FIELDS)].astype(object).where(part[list(_FIELDS)].notna(), None)
-                had = self.parts.getValue((int(block),))
+            values = frame[list(_FIELDS)].astype(object).where(frame[list(_FIELDS)].notna(), None)
+            listed: dict[int, list[tuple]] = {}
+            for block, r in zip(frame[self.event_time].astype("datetime64[ms]").astype("int64").tolist(), values.values.tolist()):
+                listed.setdefault(block, []).append((*r[:6], None if r[6] is None else int(r[6]), None if r[7] is None else int(r[7])))
+            for block, part in listed.items():
+                had = self.parts.getValue((block,))
                 number = had[0] if had else 0
-                if not number:
-                    self.handle.registerTimer(int(block) + 1)
-                listed = [(*r[:6], None if r[6] is None else int(r[6]), None if r[7] is None else int(r[7])) for r in values.values.tolist()]
-                self.waiting.updateValue((int(block), number), (listed,))
-                self.parts.updateValue((int(block),), (number + 1,))
+                self.waiting.updateValue((block, number), (part,))
+                self.parts.updateValue((block,), (number + 1,))
+                first = block if first is None else min(first, block)
+        if first is not None:
+            self.handle.registerTimer(first + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        block = expiredTimerInfo.getExpiryTimeInMs() - 1
-        count = self.parts.getValue((block,))
-        rows = []
-        for part in range(count[0] if count else 0):
-            rows.extend(tuple(x) for x in self.waiting.getValue((block, part))[0])
-            self.waiting.removeKey((block, part))
-        self.parts.removeKey((block,))
-        fold = PoolRatings(self.settings)
-        for team in {t for r in rows for t in r[4:6]}:
-            known = self.clubs.getValue((team,))
-            if known:
-                fold.value[team], fold.season[team] = known
-        out = []
-        for _, match_id, season, competition, home, away, scored, conceded in sorted(rows, key=lambda r: r[0]):
-            before = fold.enter(home, season, competition), fold.enter(away, season, competition)
-            if scored is not None and conceded is not None:
-                fold.settle(home, away, scored, conceded, competition)
-            out.append((key[0], match_id, *before))
+        passed = timerValues.getCurrentWatermarkInMs()
+        blocks = sorted((block, n) for (block,), (n,) in self.parts.iterator())
+        fold, out = PoolRatings(self.settings), []
+        for block, count in blocks:
+            if block + 1 > passed:
+                # Later blocks wait for the next timer; rows that come for an earlier one register theirs.
+                self.handle.registerTimer(block + 1)
+                break
+            rows = []
+            for part in range(count):
+                rows.extend(tuple(x) for x in self.waiting.getValue((block, part))[0])
+                self.waiting.removeKey((block, part))
+            self.parts.removeKey((block,))
+            for team in {t for r in rows for t in r[4:6]} - fold.value.keys():
+                known = self.clubs.getValue((team,))
+                if known:
+                    fold.value[team], fold.season[team] = known
+            for _, match_id, season, competition, home, away, scored, conceded in sorted(rows, key=lambda r: r[0]):
+                before = fold.enter(home, season, competition), fold.enter(away, season, competition)
+                if scored is not None and conceded is not None:
+                    fold.settle(home, away, scored, conceded, competition)
+                out.append((key[0], match_id, *before))
+            if len(out) >= _OUT_ROWS:
+                yield _told(out)
+                out = []
         for team, rating in fold.value.items():
             self.clubs.updateValue((team,), (float(rating), fold.season[team]))
-        yield pd.DataFrame(out, columns=["pool", "match_id", "home_elo", "away_elo"])
+        if out:
+            yield _told(out)
 
     def close(self) -> None:
         pass
