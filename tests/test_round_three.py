@@ -65,3 +65,14 @@ def test_decayed_sums_equal_a_join(spark):
         mine = got[r.pool, r.cutoff, r.competition, r.home_team, r.away_team]
         assert mine.n == r.n and all(abs(mine[c] - r[c]) < 1e-9 for c in ("w", "wh", "w10"))
     assert pair_sums(matches.limit(0), spark.createDataFrame(cuts, "pool string, cutoff date")).count() == 0
+
+
+def test_pair_sums_are_dealt_out_by_the_number_of_matches(spark, league, monkeypatch):
+    from tidemark.models import rates
+
+    cuts = league.groupBy("pool", "season", "matchday").agg(F.min("match_date").alias("cutoff"))
+    told = lambda rows: sorted((r.cutoff, r.home_team, r.away_team, r.n, round(r.w, 9)) for r in rows.collect())
+    few = told(pair_sums(league, cuts))
+    monkeypatch.setattr(rates, "TASK_MATCHES", 10)
+    many = pair_sums(league, cuts)
+    assert many.rdd.getNumPartitions() >= league.filter("home_goals is not null").count() // 10 and told(many) == few
