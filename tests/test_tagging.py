@@ -5,7 +5,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import text as TX
 from tidemark.operators.text import _SPAN, tag_by_names, tag_entities
+from tidemark.plans.catalog import QUERIES
 
 
 def test_same_rows_as_patterns_over_many_names(spark):
@@ -55,3 +57,32 @@ def test_names_over_the_parts_of_a_long_text(spark):
     for longest in (False, True):
         assert {r.entity for r in tag_by_names(docs, table, longest=longest).collect()} == {"pair", "edge", "end"}
     assert docs.select(tag_entities(F.col("text"), names)).first()[0] == ["edge", "end", "pair"]
+
+
+def test_runs_are_sorted_out_before_the_names_are_joined(spark, monkeypatch):
+    """Names known everywhere, names that are joined, entities of several rows of bits: the same rows, the pieces taken once."""
+    plain = spark.createDataFrame(
+        [(i, " ".join(f"w{(i * k) % 9973}" for k in range(400)) + " common pair here") for i in range(50)], "doc_id long, text string")
+    names = spark.createDataFrame(
+        [("common pair", f"E{k}") for k in range(200)] + [("pair", f"E{k}") for k in range(90)] + [("here", "one"), ("rare", "none")],
+        "alias string, entity string")
+    want = {(i, e) for i in range(50) for e in ["one", *[f"E{k}" for k in range(200)]]}
+    # All names broadcast, one of them, and only those of one row.
+    for most, rows in ((1 << 16, 4), (1, 4), (1 << 16, 1)):
+        monkeypatch.setattr(TX, "_KNOWN_EVERYWHERE", most)
+        monkeypatch.setattr(TX, "_ROWS_EVERYWHERE", rows)
+        got = tag_by_names(plain, names)
+        assert {(r.doc_id, r.entity) for r in got.collect()} == want and got.count() == len(want)
+    monkeypatch.undo()
+    plan = tag_by_names(plain, names)._jdf.queryExecution().optimizedPlan().toString()
+    # Runs meet the filter before they are joined by name, and no other step repeats the pieces.
+    assert "_filter#" in plan and plan.count("|\\W++, 0)") == 1
+
+
+def test_alias_tags_of_odd_heads(spark, tmp_path):
+    """Texts of fewer words than a name needs, with marks before and after; a text's second word names its entity."""
+    texts = [(1, "«one» two", "en"), (2, "...", "en"), (3, None, "en"), (4, "Two three-four, FIVE six", "fr"), (5, "x three-four", "de"),
+             (6, "", "de"), (6, "Y\U0001d4b3 \u00c9t\u00e9 z ", None)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.entities for r in QUERIES["alias_tags"](spark, str(tmp_path)).collect()}
+    assert got == {1: "en-1", 4: "de-5 en-1 fr-4", 5: "de-5 fr-4", 6: "6"}

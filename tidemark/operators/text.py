@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import DISPLAY_NAMES
+from tidemark.session import stage
 
 # Wording of a change in charge, wording that points at somebody else, nicknames.
 CHANGE = (
@@ -62,6 +63,10 @@ def tag_entities(text: Column, names: dict[str, list[str]]) -> Column:
 _SPAN = 2_000
 #: Parts a name's texts are spread over where the names are too many to broadcast.
 _SALTS = 16
+#: Bits of the filter of names, in words of 64: at most 2**20 rows, so that it may be broadcast whatever the names.
+_FILTER_BITS = 1 << 26
+#: Names whose entities are broadcast with them, those of most entities: so many names, each of at most so many rows.
+_KNOWN_EVERYWHERE, _ROWS_EVERYWHERE = 1 << 18, 4
 _EDGE = r"(?U)^\W+|\W+$"
 
 
@@ -70,6 +75,31 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(text, _EDGE, "")), F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
 
 
+def _text_pieces(text: Column) -> Column:
+    """The same, with what follows the last word, in which no name can end; every character is matched once."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, r"(?U)^\W++", "")), F.lit(r"(?U)\w++|\W++"), F.lit(0))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _filter_place(name: str) -> Column:
+    return F.xxhash64(name).bitwiseAND(F.lit(_FILTER_BITS - 1))
+
+
+def _name_filter(known: DataFrame) -> DataFrame:
+    place = _filter_place("_name")
+    return known.select(F.shiftright(place, 6).alias("_at_word"), _bit(place).alias("_bit")).groupBy("_at_word").agg(
+        F.bit_or("_bit").alias("_filter"))
+
+
+def _known_everywhere(known: DataFrame) -> DataFrame:
+    most = known.groupBy("_name").agg(F.sum(F.bit_count("_bits")).alias("_entities"), F.count("*").alias("_rows")).filter(
+        F.col("_rows") <= _ROWS_EVERYWHERE).orderBy(F.desc("_entities"), "_name").limit(_KNOWN_EVERYWHERE)
+    return known.join(F.broadcast(most.select("_name")), "_name")
+
+
 def tag_by_names(
     texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", longest: bool = False
 ) -> DataFrame:
@@ -80,43 +110,68 @@ def tag_by_names(
     texts' words and not texts times names. With ``longest`` a name does not count inside a longer one found there.
     Characters before a name's first and after its last word are ignored; a name without words, a null entity and a null
     key or text give no row. Rows of one key are one text of several parts.
+
+    The names are stored once, their entities as numbered bits, 64 to a row. Runs that surely are no names stay where
+    they are: a filter of bounded size is broadcast. So are the names of most entities; runs of these become bits of their
+    text in the task that reads it. All other runs are joined.
     """
-    known = (
+    given = stage(
         names.select("entity", _pieces(F.col("alias")).alias("_p")).filter("entity is not null and size(_p) > 0")
-        .select("entity", F.array_join("_p", "").alias("_name"), F.size("_p").alias("_n")).distinct()
-    )
+        .select("entity", F.array_join("_p", "").alias("_name"), F.size("_p").alias("_n")).distinct(), "names")
     # A name's length in words is bounded by how long names are, not by how many there are.
-    sizes = sorted(r[0] for r in known.select("_n").distinct().collect())
+    sizes = sorted(r[0] for r in given.select("_n").distinct().collect())
     if not sizes:
         return texts.select(key, F.lit(None).cast("string").alias("entity")).limit(0)
+    numbers = stage(given.select("entity").distinct().orderBy("entity").withColumn(
+        "_number", F.monotonically_increasing_id()), "entities")
+    known = stage(
+        given.join(numbers, "entity").groupBy("_name", F.shiftright("_number", 6).alias("_word"))
+        .agg(F.bit_or(_bit(F.col("_number"))).alias("_bits")), "bits")
+    # While the row's number is read on, no filter moves below it, where pieces would be taken once more.
     part = texts.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), _pieces(F.col(text)).alias("_p"),
+        F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), _text_pieces(F.col(text)).alias("_p"),
     ).filter("size(_p) > 0").select(
         "_key", "_row", "_p", F.explode(F.sequence(F.lit(0), F.size("_p") - 1, F.lit(2 * _SPAN))).alias("_from"))
     part = part.select("_key", "_row", "_from", F.slice("_p", F.col("_from") + 1, F.lit(2 * _SPAN + sizes[-1])).alias("_p"))
     starts = F.sequence(F.lit(1), F.least(F.lit(2 * _SPAN - 1), F.size("_p")), F.lit(2))
-
-    def runs_of(n: int) -> Column:
-        """All runs of ``n`` pieces that start in this part."""
-        fit = F.filter(starts, lambda i: i + (n - 1) <= F.size("_p"))
-        name = lambda i: F.array_join(F.slice("_p", i, F.lit(n)), "").alias("_name")
-        if not longest:
-            return F.transform(fit, name)
-        return F.transform(fit, lambda i: F.struct((F.col("_from") + i).alias("_at"), F.lit(n).alias("_n"), name(i)))
-
-    runs = F.flatten(F.array(*[runs_of(n) for n in sizes]))
-    # A text's equal runs are one row; where places matter, each is its own.
-    found = part.select("_key", "_row", F.inline(runs) if longest else F.explode(F.array_distinct(runs)).alias("_name"))
+    start = part.select("*", F.explode(starts).alias("_i"))
+
+    def run_of(n: int) -> Column:
+        """The run of ``n`` pieces that starts here, null where the text ends before."""
+        run = F.get("_p", F.col("_i") - 1) if n == 1 else F.array_join(F.slice("_p", F.col("_i"), F.lit(n)), "")
+        return F.when(F.col("_i") + (n - 1) <= F.size("_p"), run)
+
+    # Only where places matter are a text's equal runs told apart.
+    runs = F.inline(F.array(*[
+        F.struct((F.col("_from") + F.col("_i")).alias("_at"), F.lit(n).alias("_n"), run_of(n).alias("_name")) for n in sizes
+    ])) if longest else F.explode(F.array(*[run_of(n) for n in sizes])).alias("_name")
+    place = _filter_place("_name")
+    found = start.select("_key", "_row", runs).filter("_name is not null").withColumn("_at_word", F.shiftright(place, 6)).withColumn(
+        "_bit", _bit(place)).join(F.broadcast(_name_filter(given)), "_at_word").filter(
+        F.col("_filter").bitwiseAND(F.col("_bit")) != 0).drop("_at_word", "_bit", "_filter")
     salt = F.pmod(F.xxhash64("_key", "_row"), F.lit(_SALTS)).cast("int")
-    spread = known.drop("_n").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    hits = found.withColumn("_salt", salt).join(spread, ["_name", "_salt"])
+    spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     if longest:
+        hits = found.withColumn("_salt", salt).join(spread, ["_name", "_salt"])
         # In order of start and, at one start, of length, a run lies in a longer one if an earlier run ends as late.
         earlier = Window.partitionBy("_key", "_row").orderBy("_at", F.desc("_n")).rangeBetween(
             Window.unboundedPreceding, Window.currentRow)
-        place = F.struct((F.col("_at") + F.col("_n")).alias("end"), F.col("_n").alias("n"))
-        hits = hits.withColumn("_furthest", F.max(place).over(earlier)).filter("_furthest.end = _at + _n and _furthest.n = _n")
-    return hits.select(F.col("_key").alias(key), "entity").distinct()
+        end = F.struct((F.col("_at") + F.col("_n")).alias("end"), F.col("_n").alias("n"))
+        hits = hits.withColumn("_furthest", F.max(end).over(earlier)).filter("_furthest.end = _at + _n and _furthest.n = _n")
+    else:
+        # A run is either resolved, as bits without a name, or a name without bits; null names meet none.
+        sorted_out = found.join(F.broadcast(_known_everywhere(known)), "_name", "left").groupBy(
+            "_key", "_row", F.when(F.col("_bits").isNull(), F.col("_name")).alias("_name"), "_word",
+        ).agg(F.bit_or("_bits").alias("_bits"))
+        rest = spread.select("_name", "_salt", F.col("_word").alias("_word_met"), F.col("_bits").alias("_bits_met"))
+        hits = sorted_out.withColumn("_salt", F.when(F.col("_name").isNotNull(), salt).otherwise(
+            F.hash("_key", "_row"))).join(rest, ["_name", "_salt"], "left").select(
+            "_key", F.coalesce("_word", "_word_met").alias("_word"), F.coalesce("_bits", "_bits_met").alias("_bits"))
+    told = hits.filter("_bits is not null").groupBy("_key", "_word").agg(F.bit_or("_bits").alias("_bits"))
+    held = F.expr("filter(sequence(0, 63), b -> shiftrightunsigned(_bits, b) & 1 = 1)")
+    return told.select("_key", "_word", F.explode(held).alias("_b")).withColumn(
+        "_number", F.col("_word") * 64 + F.col("_b")).join(
+        numbers, "_number").select(F.col("_key").alias(key), "entity")
 
 
 def attributed_changes(
