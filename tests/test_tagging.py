@@ -79,6 +79,13 @@ def test_runs_are_sorted_out_before_the_names_are_joined(spark, monkeypatch):
     assert "_filter#" in plan and plan.count("|\\W++, 0)") == 1
 
 
+def test_entities_are_numbered_without_gaps(spark):
+    entities = spark.range(0, 300, 1, 17).select(F.concat(F.lit("E"), "id").alias("entity"))
+    for given, n in ((entities, 300), (entities.filter("entity in ('E1', 'E150', 'E299')"), 3), (entities.limit(0), 0)):
+        rows = TX._numbered(given).collect()
+        assert sorted(r._number for r in rows) == list(range(n)) and len({r.entity for r in rows}) == n
+
+
 def test_alias_tags_of_odd_heads(spark, tmp_path):
     """Texts of fewer words than a name needs, with marks before and after; a text's second word names its entity."""
     texts = [(1, "«one» two", "en"), (2, "...", "en"), (3, None, "en"), (4, "Two three-four, FIVE six", "fr"), (5, "x three-four", "de"),

@@ -94,6 +94,17 @@ def _name_filter(known: DataFrame) -> DataFrame:
         F.bit_or("_bit").alias("_filter"))
 
 
+def _numbered(entities: DataFrame) -> DataFrame:
+    """Entities with numbers from 0 on without gaps, however they are partitioned, so that few of them are few bits."""
+    apart = stage(entities.withColumn("_id", F.monotonically_increasing_id()), "entities").withColumn("_part", F.shiftright("_id", 33))
+    # One row per partition, whatever the entities.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = apart.groupBy("_part").agg(F.count("*").alias("_here")).select(
+        "_part", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_first"))
+    return stage(apart.join(F.broadcast(first), "_part").select(
+        "entity", (F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("_number")), "numbers")
+
+
 def _known_everywhere(known: DataFrame) -> DataFrame:
     most = known.groupBy("_name").agg(F.sum(F.bit_count("_bits")).alias("_entities"), F.count("*").alias("_rows")).filter(
         F.col("_rows") <= _ROWS_EVERYWHERE).orderBy(F.desc("_entities"), "_name").limit(_KNOWN_EVERYWHERE)
@@ -122,8 +133,7 @@ def tag_by_names(
     sizes = sorted(r[0] for r in given.select("_n").distinct().collect())
     if not sizes:
         return texts.select(key, F.lit(None).cast("string").alias("entity")).limit(0)
-    numbers = stage(given.select("entity").distinct().orderBy("entity").withColumn(
-        "_number", F.monotonically_increasing_id()), "entities")
+    numbers = _numbered(given.select("entity").distinct())
     known = stage(
         given.join(numbers, "entity").groupBy("_name", F.shiftright("_number", 6).alias("_word"))
         .agg(F.bit_or(_bit(F.col("_number"))).alias("_bits")), "bits")
