@@ -19,8 +19,8 @@ _ROW = ("seq_key string, match_id string, season string, competition string, hom
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-#: Ratings passed on together.
-_OUT_ROWS = 10_000
+#: Ratings passed on together, and waiting rows of a part.
+_OUT_ROWS, _PART_ROWS = 10_000, 2_000
 
 
 def _told(rows: list[tuple]) -> pd.DataFrame:
@@ -36,10 +36,13 @@ def closing_rows(matches: DataFrame, event_time: str = "event_time") -> DataFram
 
 
 class RatingProcessor(StatefulProcessor):
-    """One pool. State: each club's rating and season; each waiting block's rows, written once as they arrive; one timer.
+    """One pool. State: each club's rating and season; the waiting rows in order of their blocks, in parts; one timer.
 
-    The timer is that of the earliest waiting block. It rates all blocks that the watermark has passed, in order, and holds
-    one block's rows, the clubs met and the ratings not yet passed on. A club is read and written once a call, not once a block.
+    A call's rows are sorted and written in parts of at most ``_PART_ROWS``, under the part's first block and a number. The timer
+    is that of the earliest waiting block. It rates all blocks that the watermark has passed, in order: parts are met as
+    their first block comes up, so it holds the parts that reach over a block, the clubs met and the ratings not yet
+    passed on. What such a part still keeps for later is written back as one part. A club is read and written once a
+    call, a part as well, whatever blocks it holds.
     """
 
     def __init__(self, event_time: str, settings: RatingSettings) -> None:
@@ -49,40 +52,68 @@ class RatingProcessor(StatefulProcessor):
         self.handle = handle
         self.clubs = handle.getMapState("clubs", "team string", "rating double, season string")
         self.parts = handle.getMapState("parts", "block long", "n int")
-        self.waiting = handle.getMapState("waiting", "block long, part int", f"rows array<struct<{_ROW.replace(' string', ':string').replace(' int', ':int')}>>")
+        self.waiting = handle.getMapState(
+            "waiting", "block long, part int",
+            f"blocks array<long>, rows array<struct<{_ROW.replace(' string', ':string').replace(' int', ':int')}>>")
+
+    def _keep(self, listed: list[tuple]) -> None:
+        """Writes sorted (block, row) pairs as parts."""
+        for start in range(0, len(listed), _PART_ROWS):
+            part = listed[start : start + _PART_ROWS]
+            block = part[0][0]
+            had = self.parts.getValue((block,))
+            number = had[0] if had else 0
+            self.waiting.updateValue((block, number), ([b for b, _ in part], [r for _, r in part]))
+            self.parts.updateValue((block,), (number + 1,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for frame in rows:
             frame = frame[frame["match_id"].notna()]
             values = frame[list(_FIELDS)].astype(object).where(frame[list(_FIELDS)].notna(), None)
-            listed: dict[int, list[tuple]] = {}
-            for block, r in zip(frame[self.event_time].astype("datetime64[ms]").astype("int64").tolist(), values.values.tolist()):
-                listed.setdefault(block, []).append((*r[:6], None if r[6] is None else int(r[6]), None if r[7] is None else int(r[7])))
-            for block, part in listed.items():
-                had = self.parts.getValue((block,))
-                number = had[0] if had else 0
-                self.waiting.updateValue((block, number), (part,))
-                self.parts.updateValue((block,), (number + 1,))
-                first = block if first is None else min(first, block)
+            listed = sorted((
+                (block, (*r[:6], None if r[6] is None else int(r[6]), None if r[7] is None else int(r[7])))
+                for block, r in zip(frame[self.event_time].astype("datetime64[ms]").astype("int64").tolist(), values.values.tolist())
+            ), key=lambda x: x[0])
+            if listed:
+                self._keep(listed)
+                first = listed[0][0] if first is None else min(first, listed[0][0])
         if first is not None:
             self.handle.registerTimer(first + 1)
         return iter(())
 
+    def _passed(self, until: int) -> Iterator[tuple[int, list[tuple]]]:
+        """Blocks before ``until`` in order, with their rows; what later blocks hold goes back into the state."""
+        met: list[tuple] = []
+        firsts = sorted((block, n) for (block,), (n,) in self.parts.iterator())
+        while True:
+            block = min([b for b, _ in firsts[:1]] + [b for b, _ in met[:1]], default=None)
+            if block is None or block >= until:
+                break
+            fresh = False
+            while firsts and firsts[0][0] == block:
+                _, count = firsts.pop(0)
+                for part in range(count):
+                    blocks, rows = self.waiting.getValue((block, part))
+                    met.extend(zip(blocks, (tuple(r) for r in rows)))
+                    self.waiting.removeKey((block, part))
+                self.parts.removeKey((block,))
+                fresh = True
+            if fresh:
+                met.sort(key=lambda x: x[0])
+            end = next((i for i, (b, _) in enumerate(met) if b > block), len(met))
+            yield block, [r for _, r in met[:end]]
+            del met[:end]
+        if met:
+            self._keep(met)
+        later = [b for b, _ in firsts[:1]] + [b for b, _ in met[:1]]
+        if later:
+            # Later blocks wait for the next timer; rows that come for an earlier one register theirs.
+            self.handle.registerTimer(min(later) + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        blocks = sorted((block, n) for (block,), (n,) in self.parts.iterator())
         fold, out = PoolRatings(self.settings), []
-        for block, count in blocks:
-            if block + 1 > passed:
-                # Later blocks wait for the next timer; rows that come for an earlier one register theirs.
-                self.handle.registerTimer(block + 1)
-                break
-            rows = []
-            for part in range(count):
-                rows.extend(tuple(x) for x in self.waiting.getValue((block, part))[0])
-                self.waiting.removeKey((block, part))
-            self.parts.removeKey((block,))
+        for _, rows in self._passed(timerValues.getCurrentWatermarkInMs()):
             for team in {t for r in rows for t in r[4:6]} - fold.value.keys():
                 known = self.clubs.getValue((team,))
                 if known:
